@@ -168,6 +168,12 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, window: int = 3, e
         E[~touched] = 0
         b -= 0.3 * g.sum(0)
         W -= 0.02 * np.clip(E.T @ coef, -1, 1)
+    # the bias at last: where the sample's clean texts end, or half way from there to the toxic ones
+    word = np.add.reduceat((E @ (W[:, 1] - W[:, 0]))[sub_b], sub_at) / sub_n
+    top = np.full(len(texts), -np.inf)
+    np.maximum.at(top, win_text, np.add.reduceat(word[flat_w], win_at) / win_n)
+    clean, toxic = np.quantile(top[labels == 0], [0.99, 0.995]), np.quantile(top[labels == 1], 0.05)
+    b = np.array([0.0, -((clean[1] + toxic) / 2 if toxic > clean[1] else clean[0])])
     return ToxicityModel(E.astype(np.float32), W.astype(np.float32), b, window)
 
 
