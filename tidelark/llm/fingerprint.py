@@ -72,10 +72,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     n, some = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     if not n:
         return rows.withColumn("next_text", F.lit(""))
-    ranges = min(65_536, max(partitions(spark), math.ceil(n / rows_a_range)))
+    ranges = min(65_536, max(2 * partitions(spark), math.ceil(n / rows_a_range)))  # two a partition even out
     bounds = _boundaries(rows, "doc_id", ranges)
     key = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_range_of(F.col("doc_id"), bounds) + 1).cast("int")
-    dealt = rows.withColumn("__range", key).withColumn("__hash", F.xxhash64("text")).repartitionById(len(bounds) + 2, "__range")
+    dealt = rows.withColumn("__range", key).withColumn("__hash", F.xxhash64("text"))
     down = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), "__hash")
     # the first text of each range and the range that needs it
     top = rows.withColumn("__range", key)
