@@ -100,28 +100,39 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, window: int = 3, e
     texts counts, the accident of one does not."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, int)
-    keys, number, sub_b, sub_n = [], [], [], []
+    keys, number, new_keys, sub_b, sub_n = [], [], [], [], []
+    seen = np.zeros(0, np.int64)
     for at, run in pieces(texts, 1 << 18):
         x, s, e, text_of, bucket, owner = _subwords(run)
-        keys.append(x.hash(s, e, 62, 2) * 2 + 1)
-        number.append(np.asarray(at)[text_of])
-        sub_b.append(bucket[np.argsort(owner, kind="stable")])
-        sub_n.append(np.bincount(owner, minlength=len(s)))
-    keys, number, sub_b, sub_n = map(np.concatenate, (keys, number, sub_b, sub_n))
-    words, where, token_word = np.unique(keys, return_index=True, return_inverse=True)
-    first = np.concatenate(([0], np.cumsum(sub_n)))[where]
-    sub_n = sub_n[where]
-    at = np.repeat(first - np.concatenate(([0], np.cumsum(sub_n)[:-1])), sub_n) + np.arange(sub_n.sum())
-    sub_b = sub_b[at]
-    V = len(words)
+        key = x.hash(s, e, 62, 2)
+        keys.append(key)
+        number.append(np.asarray(at, np.int32)[text_of])
+        # of each word only the first meeting gives its subwords
+        u, where = np.unique(key, return_index=True)
+        place = np.searchsorted(seen, u)
+        fresh = place == len(seen)
+        fresh[~fresh] = seen[place[~fresh]] != u[~fresh]
+        word = np.full(len(s), -1, np.int32)
+        word[where[fresh]] = np.arange(int(fresh.sum()))
+        mine = word[owner]
+        order = np.argsort(mine[mine >= 0], kind="stable")
+        sub_b.append(bucket[mine >= 0][order].astype(np.int32))
+        sub_n.append(np.bincount(mine[mine >= 0], minlength=int(fresh.sum())))
+        new_keys.append(u[fresh])
+        seen = np.insert(seen, place[fresh], u[fresh])
+    if not len(seen) or len(set(labels.tolist())) < 2:
+        return ToxicityModel(np.zeros((1 << BITS, dim), np.float32), np.zeros((dim, 2), np.float32), np.array([50.0, -50.0]), window)
+    new_keys, number, sub_b, sub_n = map(np.concatenate, (new_keys, number, sub_b, sub_n))
+    by_key = np.argsort(new_keys)
+    token_word = np.concatenate([by_key[np.searchsorted(seen, k)].astype(np.int32) for k in keys])
+    del keys, new_keys
+    V = len(sub_n)
     size = 1 << BITS
     E = rng.uniform(-1 / dim, 1 / dim, (size, dim))
     W = rng.normal(0, 0.5, (dim, 2))
     b = np.zeros(2)
-    if not V or len(set(labels.tolist())) < 2:
-        return ToxicityModel(np.zeros((size, dim), np.float32), W.astype(np.float32), np.array([50.0, -50.0]), window)
-    sub_w = np.repeat(np.arange(V), sub_n)
-    sub_1 = 1.0 / sub_n[sub_w]
+    sub_w = np.repeat(np.arange(V, dtype=np.int32), sub_n)
+    sub_1 = (1.0 / sub_n)[sub_w].astype(np.float32)
     sub_at = np.concatenate(([0], np.cumsum(sub_n)))[:-1]
     touched = np.zeros(size, bool)
     touched[sub_b] = True
@@ -131,15 +142,17 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, window: int = 3, e
     win_at = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (rank[1:] != rank[:-1]))))
     win_text, flat_w = number[win_at], token_word
     win_n = np.diff(np.append(win_at, len(number)))
-    win_of = np.repeat(np.arange(len(win_n)), win_n)
+    win_of = np.repeat(np.arange(len(win_n), dtype=np.int32), win_n)
     once = np.unique(number.astype(np.int64) * V + token_word)
-    once_n = np.full(len(once), max(1.0, len(once) / len(texts)))
+    once_text, once_word = (once // V).astype(np.int32), (once % V).astype(np.int32)
+    once_n = np.full(len(once), max(1.0, len(once) / len(texts)), np.float32)
+    del once
     balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     for step in range(1, epochs + 1):
-        score = E @ W
+        score = (E @ W).astype(np.float32)
         word = np.add.reduceat(score[sub_b], sub_at, axis=0) / sub_n[:, None]
         if step <= 5:  # an instance is a text, a word in it counts once
-            inst, token, share, y, weight = once // V, once % V, 1.0 / once_n, labels, balance
+            inst, token, share, y, weight = once_text, once_word, 1.0 / once_n, labels, balance
         else:  # an instance is one of the worst windows
             mean = np.add.reduceat(word[flat_w, 1] - word[flat_w, 0], win_at) / win_n
             order = np.lexsort((-mean, win_text))
@@ -177,7 +190,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, window: int = 3, e
     return ToxicityModel(E.astype(np.float32), W.astype(np.float32), b, window)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", **options) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", **options) -> ToxicityModel:
     """Fits on at most ``per_class`` labelled documents of each class whose ``crc32(id) mod folds`` is not 0."""
     rows = labelled_sample(docs, labels, label, per_class, fold("__id", folds) != 0, [text_col], id_col)
     return train(rows[text_col].fillna("").tolist(), rows["__y"].to_numpy(), **options)
