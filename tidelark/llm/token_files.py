@@ -3,9 +3,9 @@
 Documents are dealt out by ranges of ids and sorted, so file ``part`` k holds
 smaller ids than file k + 1.  Each row is one document:
 
-    doc_id bigint, part int, pos bigint, ids array<int>
+    doc_id bigint, part int, pos bigint, n int, ids array<int>
 
-``pos`` counts the ids before the document within its part.  ORC encodes the
+``pos`` counts the ids before the document within its part, ``n`` its own.  ORC encodes the
 integers by run length in stripes, keeps minima and maxima of ``doc_id`` by
 stripe and row group, and a Bloom filter on it, so that a lookup reads few
 stripes; a scan reads stripes in parallel, as Spark splits the files.
@@ -17,6 +17,8 @@ ids sort first.  Rows with equal ids stand in order of their texts' hashes.
 from __future__ import annotations
 
 import json
+import os
+import re
 import unicodedata
 import zlib
 from functools import cache
@@ -29,21 +31,67 @@ from pyspark.sql import functions as F
 
 from ._common import partitions, quoted, scratch, small_batches
 
-SCHEMA = "doc_id bigint, part int, pos bigint, ids array<int>"
+SCHEMA = "doc_id bigint, part int, pos bigint, n int, ids array<int>"
 #: Characters whose lower case and white space are the same for Python and for the tokenizer's normalizer.
-PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞₠-₿]*")
+PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞₠-₿]*")
 
 
-class WordIds:
-    """The tokenizers library over distinct chunks between white space.
+class _Numbers(dict):
+    """Numbers strings as they are first asked for; ``new`` holds those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Store:
+    """Runs of ids by number; arrays double as they grow."""
+
+    def __init__(self):
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.at = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int32)
+        self.used = self.runs = 0
+
+    @staticmethod
+    def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+        return array if used + more <= len(array) else np.concatenate((array[:used], np.zeros(max(len(array), more), array.dtype)))
 
-    Only for vocabularies whose pre-tokenizer never joins characters across
-    white space and whose normalizer works character by character on PLAIN
-    text (NFC, white space, lower case); any other text, and one that holds a
-    special token, goes through the library whole.
+    def add(self, ids: np.ndarray, count: np.ndarray) -> None:
+        self.ids = self._room(self.ids, self.used, len(ids))
+        self.at, self.count = self._room(self.at, self.runs, len(count)), self._room(self.count, self.runs, len(count))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[self.runs : self.runs + len(count)] = self.used + np.cumsum(count) - count
+        self.count[self.runs : self.runs + len(count)] = count
+        self.used += len(ids)
+        self.runs += len(count)
+
+    def get(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.count[k]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.at[k] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+
+class WordIds:
+    """The tokenizers library over distinct words.
+
+    Texts are cut at white space into chunks and new chunks by the
+    vocabulary's own pattern into words; the library encodes each word that the
+    worker has not met before, many to a line, and the marks of words' ends in
+    the vocabulary tell their ids apart.  Only for vocabularies whose
+    pre-tokenizer never joins characters across white space and whose
+    normalizer works character by character on PLAIN text (NFC, white space,
+    lower case); any other text, and one that holds a special token, goes
+    through the library whole.
     """
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -53,63 +101,58 @@ class WordIds:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        pre = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_chunk = kinds == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"]
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in pre] == ["Split", "ByteLevel"]
+        if self.by_word:
+            self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.memory = memory
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.store = np.zeros(1 << 16, np.int32)
-        self.at = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.used = 0
+        self.chunks, self.words = _Numbers(), _Numbers()
+        self.of_chunk, self.of_word = _Store(), _Store()
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes the chunks in long lines, which is cheaper than one by one, and finds each chunk's ids by offset."""
-        sizes = []
-        for a in range(0, len(chunks), 2000):
-            run = chunks[a : a + 2000]
-            got = self.library.encode(" ".join(run), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1)
-            start = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-            sizes.append(np.bincount(np.searchsorted(ends, start, "right"), minlength=len(run)))
-            ids = np.asarray(got.ids, np.int32)
-            if self.used + len(ids) > len(self.store):
-                self.store = np.concatenate((self.store, np.zeros(max(len(self.store), len(ids)), np.int32)))
-            self.store[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-        n = np.concatenate(sizes)
-        first = self.used - int(n.sum())
-        self.known.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks)), strict=True))
-        self.at = np.concatenate((self.at, first + np.cumsum(n) - n))
-        self.count = np.concatenate((self.count, n))
+    def learn(self) -> None:
+        chunks, self.chunks.new = self.chunks.new, []
+        alone = np.fromiter(map(str.isalpha, chunks), bool, len(chunks))  # a chunk of letters is a word
+        number = self.words.__getitem__
+        first = np.fromiter((number(c) if a else -1 for c, a in zip(chunks, alone, strict=True)), np.int64, len(chunks))
+        parts = [self.pattern.findall(c) for c, a in zip(chunks, alone, strict=True) if not a]
+        size = np.ones(len(chunks), np.int64)
+        size[~alone] = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(size)
+        k = np.empty(int(ends[-1]), np.int64)
+        k[(ends - size)[alone]] = first[alone]
+        k[np.repeat(~alone, size)] = np.fromiter((number(w) for p in parts for w in p), np.int64)
+        words, self.words.new = self.words.new, []
+        lines = [" ".join(words[a : a + 500]) for a in range(0, len(words), 500)]
+        for a in range(0, len(lines), 256):
+            ids = [np.asarray(got.ids, np.int32) for got in self.library.encode_batch_fast(lines[a : a + 256], add_special_tokens=False)]
+            ids = np.concatenate(ids)
+            self.of_word.add(ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        ids, n = self.of_word.get(k)
+        total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], ends))]
+        self.of_chunk.add(ids, np.diff(total))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks: list[list[str] | None] = []
+        if len(self.chunks) > self.memory:
+            self.forget()
+        number, runs = self.chunks.__getitem__, []
         for t in texts:
-            if self.by_chunk and PLAIN.fullmatch(t) and not any(s in t for s in self.special):
-                chunks.append(unicodedata.normalize("NFC", t).lower().split())
+            if self.by_word and PLAIN.fullmatch(t) and not any(s in t for s in self.special):
+                chunks = (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split()
+                runs.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
             else:
-                chunks.append(None)
-        if len(self.known) > self.memory:
-            self.forget()
-        new = dict.fromkeys(c for run in chunks if run for c in run if c not in self.known)
-        if new:
-            self.learn(list(new))
-        out = []
-        for t, run in zip(texts, chunks, strict=True):
-            if run is None:
-                out.append(self.whole(t))
-                continue
-            k = np.fromiter(map(self.known.__getitem__, run), np.int64, len(run))
-            n = self.count[k]
-            ends = np.cumsum(n)
-            out.append(self.store[np.repeat(self.at[k] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)])
-        return out
+                runs.append(None)
+        if self.chunks.new:
+            self.learn()
+        return [self.whole(t) if k is None else self.of_chunk.get(k)[0] for t, k in zip(texts, runs, strict=True)]
 
 
 @cache
@@ -140,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             ends = np.cumsum(n)
             offsets = np.concatenate(([0], ends)).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))], ["doc_id", "part", "pos", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "part", "pos", "n", "ids"])
             at += int(ends[-1]) if len(ends) else 0
 
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
@@ -174,7 +217,7 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
     running sum (a row a file) gives the parts' starts.
     """
     rows = read_token_files(spark, path)
-    ends = rows.groupBy("part").agg(F.max(F.col("pos") + F.size("ids")).alias("__n"))
+    ends = rows.groupBy("part").agg(F.max(F.col("pos") + F.col("n")).alias("__n"))
     starts = ends.select("part", (F.sum("__n").over(Window.orderBy("part")) - F.col("__n")).alias("__start"))
     small_batches(spark, 500)
 
@@ -186,7 +229,7 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("pos"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "pos", "n_tokens", "ids_crc32"])
 
-    digests = rows.mapInArrow(digest, "doc_id bigint, part int, pos bigint, n_tokens bigint, ids_crc32 bigint")
+    digests = rows.drop("n").mapInArrow(digest, "doc_id bigint, part int, pos bigint, n_tokens bigint, ids_crc32 bigint")
     # a row for each file: its number is known before the job
     return digests.join(F.broadcast(starts), "part").select("doc_id", (F.col("__start") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")
 
