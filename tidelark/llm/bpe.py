@@ -48,7 +48,7 @@ def byte_letters() -> dict[str, int]:
 class NumpyBPE:
     """A byte-level BPE vocabulary of the tokenizers library's JSON format."""
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
