@@ -55,11 +55,11 @@ def _grams(texts: list[str]):
 
 
 def _by_text(values: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows ``[first - 1, last - n + 2)``: the n-grams within each text and the gaps beside it."""
+    """Sums of rows ``[first - 1, last - n + 1)``: the n-grams within each text and the gap before it."""
     total = np.zeros((len(values) + 1, values.shape[1]))
     np.cumsum(values, axis=0, out=total[1:])
     a = np.clip(first - 1, 0, len(values))
-    b = np.clip(last - n + 2, a, len(values))
+    b = np.clip(last - n + 1, a, len(values))
     return total[b] - total[a]
 
 
