@@ -257,7 +257,7 @@ def _search(queries: DataFrame, table: str, beam: int, width: int, hops: int) ->
     return state
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 24, rounds: int = 2, beam: int = 384, width: int = 128, hops: int = 4, trees: int = 6, pivots: int = 256, block: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 24, rounds: int = 2, beam: int = 640, width: int = 224, hops: int = 4, trees: int = 6, pivots: int = 256, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of each row that meets ``is_query``, the row itself left out.
 
     ``is_query`` is a condition on ``id_col``.  All other rows are candidates.
