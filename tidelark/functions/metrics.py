@@ -40,3 +40,39 @@ def confusion_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 def durbin_watson(df: DataFrame, e: str, group: list[str], order: list[str]) -> DataFrame:
     d = F.col(e) - F.lag(e).over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("__d", d).groupBy(*group).agg((F.sum(F.col("__d") ** 2) / F.sum(F.col(e) ** 2)).alias("value"))
+
+
+def mase(df: DataFrame, y: str, p: str, group: list[str], order: list[str], m: int = 1) -> DataFrame:
+    """Mean absolute error over that of the value ``m`` steps before, per group."""
+    back = F.abs(F.col(y) - F.lag(y, m).over(Window.partitionBy(*group).orderBy(*order)))
+    return df.withColumn("__d", back).groupBy(*group).agg(F.try_divide(F.avg(F.abs(_e(y, p))), F.avg("__d")).alias("value"))
+
+
+def mda(df: DataFrame, y: str, p: str, group: list[str], order: list[str]) -> DataFrame:
+    """Share of steps whose value and prediction change in the same direction, per group."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    same = F.signum(F.col(y) - F.lag(y).over(w)) == F.signum(F.col(p) - F.lag(p).over(w))
+    return df.withColumn("__d", same.cast("int")).groupBy(*group).agg(F.avg("__d").alias("value"))
+
+
+def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
+    """The share of (1, 0) pairs that the score orders right, ties counting half.
+
+    Rows are counted per score first, so that a cumulative sum over distinct
+    scores is all that meets in one task.
+    """
+    by = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum((F.col(y) == 1).cast("double")).alias("__p"), F.sum((F.col(y) == 0).cast("double")).alias("__n"))
+    below = F.coalesce(F.sum("__n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    won = F.sum(F.col("__p") * (F.col("__below") + F.col("__n") / 2))
+    return by.withColumn("__below", below).agg(F.try_divide(won, F.sum("__p") * F.sum("__n")).alias("value"))
+
+
+def ljung_box(df: DataFrame, e: str, group: list[str], order: list[str], lags: int = 5) -> DataFrame:
+    """n (n + 2) times the sum over k of rho_k squared / (n - k), per group."""
+    mean = F.avg(e).over(Window.partitionBy(*group))
+    w = Window.partitionBy(*group).orderBy(*order)
+    c = df.withColumn("__c", F.col(e) - mean)
+    c = c.withColumns({f"__l{k}": F.col("__c") * F.lag("__c", k).over(w) for k in range(1, lags + 1)})
+    sums = c.groupBy(*group).agg(F.count("__c").alias("__n"), F.sum(F.col("__c") ** 2).alias("__v"), *[F.sum(f"__l{k}").alias(f"__l{k}") for k in range(1, lags + 1)])
+    rho = sum((F.try_divide(F.try_divide(F.col(f"__l{k}"), F.col("__v")) ** 2, (F.col("__n") - k).cast("double")) for k in range(1, lags + 1)), F.lit(0.0))
+    return sums.select(*group, (F.col("__n") * (F.col("__n") + 2) * rho).alias("value"))

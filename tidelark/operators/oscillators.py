@@ -126,5 +126,6 @@ def deseasonalize(df: DataFrame, col: str, group: list[str], order: list[str], p
 def pad_by_time(df: DataFrame, time: str, unit: str, group: list[str]) -> DataFrame:
     """Every step of ``unit`` between a group's first and last time; other columns are null in added rows."""
     first, last = F.date_trunc(unit, F.min(time)), F.date_trunc(unit, F.max(time))
-    at = F.explode(F.sequence(first, last, F.expr(f"INTERVAL 1 {unit}"))).cast(df.schema[time].dataType)
-    return df.groupBy(*group).agg(at.alias(time)).join(df, [*group, time], "left")
+    spans = df.groupBy(*group).agg(F.sequence(first.cast("timestamp"), last.cast("timestamp"), F.expr(f"INTERVAL 1 {unit}")).alias("__at"))
+    steps = spans.select(*group, F.explode("__at").alias("__at")).select(*group, F.col("__at").cast(df.schema[time].dataType).alias(time))
+    return steps.join(df, [*group, time], "left")

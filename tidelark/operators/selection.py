@@ -74,8 +74,8 @@ def step_select_variance_threshold(columns=None, threshold: float = 0.0) -> Step
     return Step("select_variance_threshold", columns, all_numeric(), lambda cs: {c: F.var_pop(c) for c in cs}, None, lambda df, cs, k: df.drop(*_drop(k, lambda v: v is None or v <= threshold)))
 
 
-def step_select_psi(split: Column, columns=None, threshold: float = 0.25, bins: int = 10) -> Step:
-    """Columns whose population stability index between the halves that ``split`` makes exceeds ``threshold`` go.
+def step_select_psi(split: str, columns=None, threshold: float = 0.25, bins: int = 10) -> Step:
+    """Columns whose population stability index between the parts that the SQL condition ``split`` makes exceeds ``threshold`` go.
 
     Bins are quantiles of the rows where ``split`` holds; a share of 0 counts as 1e-4.
     """
@@ -88,7 +88,7 @@ def step_select_psi(split: Column, columns=None, threshold: float = 0.25, bins:
         def bucket(c):
             return F.size(F.filter(F.array(*map(F.lit, edges[c])), lambda e: e < F.col(c))) if edges[c] else F.lit(0)
 
-        halves = {"a": split, "b": ~split}
+        halves = {"a": F.expr(split), "b": ~F.expr(split)}
         row = df.agg(*[F.sum((half & F.col(c).isNotNull() & (bucket(c) == i)).cast("long")).alias(f"{c}_{h}_{i}") for c in cs for h, half in halves.items() for i in range(len(edges[c]) + 1)]).first()
         out = {}
         for c in cs:

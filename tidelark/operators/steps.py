@@ -125,6 +125,22 @@ def step_discretize(columns=None, num_breaks: int = 4, method: str = "quantile")
     return Step("discretize", columns, all_numeric(), wanted, None, project)
 
 
+def step_percentile(columns=None, num_breaks: int = 100, as_integer: bool = True) -> Step:
+    """How many of the distinct percentile edges are not above the value, scaled to ``num_breaks``; null stays null."""
+    at = [i / num_breaks for i in range(num_breaks + 1)]
+
+    def project(df, cs, k):
+        new = {}
+        for c in cs:
+            edges = sorted(set(k[c] or []))
+            below = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(c)))
+            share = F.least(below / F.lit(len(edges) - 1.0) * num_breaks, F.lit(float(num_breaks))) if len(edges) > 1 else F.lit(0.0)
+            new[c] = F.when(F.col(c).isNotNull(), share.cast("int") if as_integer else share)
+        return _replace(df, new)
+
+    return Step("percentile", columns, all_numeric(), lambda cs: {c: F.percentile(c, F.array(*map(F.lit, at))) for c in cs}, None, project)
+
+
 def step_cut(columns, breaks: list[float], labels: list[str] | None = None) -> Step:
     edges = sorted(breaks)
     names = labels if labels and len(labels) == len(edges) - 1 else [f"bin_{i + 1}" for i in range(len(edges) - 1)]
