@@ -186,12 +186,12 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more  # noqa: F401, registers its queries
+    from . import catalog_models, catalog_more  # noqa: F401, register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401, registers its queries
+    from . import catalog_models, catalog_more  # noqa: F401, register their queries
 
     return dict(SQL)

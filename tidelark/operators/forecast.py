@@ -55,10 +55,13 @@ def _states(v: np.ndarray, a: float, b: float, g: float, phi: float, trend: bool
     cycle = season is not None and len(v) >= 2 * m
     if cycle:
         mean = v[:m].mean()
-        s = list(v[:m] - mean if season == "additive" else v[:m] / (mean or 1.0))
-        level, slope = mean, (v[m : 2 * m].mean() - mean) / m if trend else 0.0
+        slope = (v[m : 2 * m].mean() - mean) / m if trend else 0.0
+        line = mean + slope * (np.arange(m) - (m - 1) / 2)
+        s = list(v[:m] - line if season == "additive" else v[:m] / np.where(line == 0, 1.0, line))
+        level = line[0] - phi * slope
     else:
-        s, level, slope = [0.0], v[0], (v[1] - v[0]) if trend and len(v) > 1 else 0.0
+        slope = (v[1] - v[0]) if trend and len(v) > 1 else 0.0
+        s, level = [0.0], v[0] - phi * slope  # one step before the first value
     mult = cycle and season == "multiplicative"
     if cycle and mult:
         s = [x or 1e-9 for x in s]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import t_quantile
 from . import ranking
-from .recipe import FittedRecipe, Recipe
+from .recipe import FittedRecipe, Recipe, Step
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,8 @@ def solve(g: np.ndarray, at: list[int], penalty: float = 0.0, mixture: float = 0
     if not at:
         beta = np.zeros(0)
     elif mixture == 0 and not nonnegative:
-        beta = np.linalg.lstsq(a + penalty * np.eye(len(at)), b, rcond=None)[0]
+        sd = np.sqrt(np.maximum(np.diag(a), 1e-300))  # to one scale, so that what is dependent shows
+        beta = np.linalg.lstsq((a + penalty * np.eye(len(at))) / np.outer(sd, sd), b / sd, rcond=1e-11)[0] / sd
     else:
         beta, ridge, lasso = np.zeros(len(at)), penalty * (1 - mixture), penalty * mixture
         for _ in range(passes):
@@ -138,7 +139,7 @@ def tune_grid(df: DataFrame, y: str, formulas: dict[str, list[str]], grid: list[
 
 
 def show_best(results: DataFrame, metric: str, n: int = 5) -> DataFrame:
-    return ranking.rank_results(results, ["wflow_id", ".config", "penalty", "mixture"], metric, n)
+    return ranking.rank_results(results, ["wflow_id", "`.config`", "penalty", "mixture"], metric, n)
 
 
 def select_best(results: DataFrame, metric: str) -> dict:
@@ -313,7 +314,8 @@ class Workflow:
         """One model for all groups, the group a predictor by indicators of all levels but the first."""
         from ..operators.steps import step_dummy
 
-        recipe = (self.recipe or Recipe()).add(step_dummy([group], one_hot=False))
+        first = Step("reference", learn=lambda df, cs: {"first": min(c for c in df.columns if c.startswith(f"{group}_"))}, project=lambda df, cs, k: df.drop(k["first"]))
+        recipe = (self.recipe or Recipe()).add(step_dummy([group]), first)
         if self.predictors:
             train = train.select(self.outcome, *self.predictors, group)
         return replace(self, recipe=recipe, predictors=None).fit(train)
@@ -343,7 +345,7 @@ class FittedWorkflow:
     def evaluate(self, df: DataFrame, names: list[str]) -> DataFrame:
         from ..functions.metrics import metric_set
 
-        return metric_set(self.predict(df), self.workflow.outcome, ".pred", names, list(self.group))
+        return metric_set(self.predict(df), self.workflow.outcome, "`.pred`", names, list(self.group))
 
     def coefficients(self) -> DataFrame:
         names = F.array(*[F.lit(c) for c in ("Intercept", *self.predictors)])
