@@ -74,8 +74,12 @@ def step_regex(column: str, pattern: str, result: str) -> Step:
 
 def step_count(column: str, pattern: str, result: str, normalize: bool = False) -> Step:
     """How often the pattern is found, per character with ``normalize``."""
-    n = F.regexp_count(F.col(column), F.lit(pattern))
-    return Step("count", project=lambda df, cs, k: df.withColumn(result, F.try_divide(n, F.length(column)) if normalize else n))
+
+    def project(df, cs, k):
+        n = F.regexp_count(F.col(column), F.lit(pattern))
+        return df.withColumn(result, F.try_divide(n, F.length(column)) if normalize else n)
+
+    return Step("count", project=project)
 
 
 def step_dummy_extract(column: str, sep: str = ", ", threshold: float = 0.0) -> Step:
