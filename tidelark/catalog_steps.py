@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import KEY, _daily, _day, _fit_sql, _fitted, _g, _o, _query, _r, _w
 from .functions import class_metrics as CM
 from .functions import metrics as M
 from .operators import more_steps as S
+from .operators import series_tests as ST
+from .plans import search
 from .plans.recipe import Recipe
 from .sources.tables import load
 
@@ -66,3 +68,33 @@ _curve_sql = _lab_sql + ", a AS (SELECT score AS threshold, sum(y) AS p, count(*
 _curve_cols = ["sensitivity", "specificity", "precision", "percent_tested", "percent_found", "lift"]
 _query("roc_pr_gain_lift_curve", lambda spark, d: _r(CM.curve(_lab(spark, d), "y", "score"), "threshold", *_curve_cols), _curve_sql + "SELECT round(threshold, 6) AS threshold, tp, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in _curve_cols) + " FROM v")
 _query("curve_areas", lambda spark, d: _r(CM.curve_areas(_lab(spark, d), "y", "score"), "value"), _curve_sql + ", b AS (SELECT *, coalesce(lag(sensitivity) OVER w, 0) AS r0, coalesce(lag(precision) OVER w, 1) AS p0, coalesce(lag(percent_tested) OVER w, 0) AS t0, coalesce(lag(percent_found) OVER w, 0) AS f0 FROM v WINDOW w AS (ORDER BY threshold DESC)) SELECT 'average_precision' AS metric, round(sum((sensitivity - r0) * precision), 6) AS value FROM b UNION ALL SELECT 'pr_auc', round(sum((sensitivity - r0) * (precision + p0) / 2), 6) FROM b UNION ALL SELECT 'gain_capture', round((sum((percent_tested - t0) * (percent_found + f0) / 2) / 1e4 - 0.5) / ((1 - (SELECT avg(y) FROM l)) / 2), 6) FROM b")
+
+
+# searches, tests of series, hierarchies
+_FOLD = "(l_orderkey * 7919 + 1) % 1000003 % 5"
+_charge = lambda spark, d: load(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice", F.expr("l_extendedprice * (1 - l_discount)").alias("net"), F.expr(_FOLD).alias("fold"))
+_XS = ["l_quantity", "l_discount", "l_extendedprice"]
+_query("tune_sim_anneal", lambda spark, d: search.tune_sim_anneal(_charge(spark, d), "net", _XS, "fold").withColumnRenamed(".config", "config"))
+_query("tune_bayes", lambda spark, d: search.tune_bayes(_charge(spark, d), "net", _XS, "fold").withColumnRenamed(".config", "config"))
+
+
+def _selected(make):
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        t = _charge(spark, d)
+        out = Recipe().add(make()).prep(t).bake(t).columns
+        return spark.createDataFrame([(c, c in out) for c in _XS], "column_name string, kept boolean")
+
+    return build
+
+
+_query("step_select_genetic_algorithm", _selected(lambda: search.step_select_genetic_algorithm("net", "fold", _XS, 2)))
+_query("step_select_stability", _selected(lambda: search.step_select_stability("net", "fold", _XS, 0.1)))
+_query("step_ica", lambda spark, d: (lambda t: _r(Recipe().add(search.step_ica(["l_quantity", "l_tax"])).prep(t).bake(t), "IC1", "IC2"))(load(spark, d, "lineitem").select(*KEY, "l_quantity", "l_tax")))
+_query("adf_test", lambda spark, d: _r(ST.adf_test(_daily(spark, d), "v", _g, _o), "statistic"), _day + f", l AS (SELECT event_type, lag(v) {_w} AS x, v - lag(v) {_w} AS d FROM s), r AS (SELECT event_type, regr_slope(d, x) AS b, regr_count(d, x) AS n, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy FROM l GROUP BY 1), t AS (SELECT event_type, b / sqrt((syy - b * b * sxx) / (n - 2) / sxx) AS t FROM r) SELECT event_type, round(t, 6) AS statistic, t < -2.86 AS stationary FROM t")
+_query("breusch_pagan", lambda spark, d: _r(ST.breusch_pagan(_fitted(spark, d), "e", "fitted", _g), "statistic"), _fit_sql + "SELECT event_type, round(count(*) * corr((v - f) ** 2, f) ** 2, 6) AS statistic FROM p GROUP BY 1")
+_query("granger", lambda spark, d: ST.granger(_daily(spark, d).withColumn("w", F.sin("v")), "v", "w", _g, _o, 2))
+_query("step_stationary", lambda spark, d: _r(ST.stationary(_daily(spark, d), "v", _g, _o, 1).select("event_type", "ts", "v"), "v"), _day + f", l AS (SELECT event_type, ts, v, lag(v) {_w} AS x FROM s), r AS (SELECT event_type, regr_slope(v - x, x) AS b, regr_count(v - x, x) AS n, regr_sxx(v - x, x) AS sxx, regr_syy(v - x, x) AS syy FROM l GROUP BY 1), a AS (SELECT bool_and(coalesce(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx) < -2.86, true)) AS every FROM r) SELECT event_type, ts, round(CASE WHEN every THEN v ELSE v - x END, 6) AS v FROM l CROSS JOIN a")
+_query("step_stationary_diff", lambda spark, d: _r(ST.stationary(_daily(spark, d).withColumn("v", F.sum("v").over(Window.partitionBy("event_type").orderBy("ts"))), "v", _g, _o, 1).select("event_type", "ts", "v"), "v"), _day + f"SELECT event_type, ts, round(CASE WHEN lag(v) {_w} IS NOT NULL THEN v END, 6) AS v FROM s")
+_past = lambda spark, d: load(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice")
+_query("reconcile_bottom_up", lambda spark, d: ST.reconcile_bottom_up(_past(spark, d).groupBy("o_orderpriority", "o_orderstatus").agg(F.avg("o_totalprice").alias(".pred")).withColumn("step", F.lit(1)), ["o_orderpriority", "o_orderstatus"], ["step"]).select("o_orderpriority", "o_orderstatus", "step", F.round("`.pred`", 3).alias("pred")), "WITH b AS (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) AS p FROM orders GROUP BY 1, 2) SELECT o_orderpriority, o_orderstatus, 1 AS step, round(sum(p), 3) AS pred FROM b GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
+_query("reconcile_top_down", lambda spark, d: ST.reconcile_top_down(_past(spark, d).groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias(".pred")), _past(spark, d), "o_totalprice", ["o_orderpriority"], ["o_orderstatus"]).select("o_orderpriority", "o_orderstatus", F.round("`.pred`", 3).alias("pred")), "WITH p AS (SELECT o_orderpriority, avg(o_totalprice) AS p, sum(o_totalprice) AS t FROM orders GROUP BY 1) SELECT o.o_orderpriority, o_orderstatus, round(max(p) * sum(o_totalprice) / max(t), 3) AS pred FROM orders o JOIN p USING (o_orderpriority) GROUP BY 1, 2")
