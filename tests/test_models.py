@@ -94,6 +94,10 @@ def test_workflow(df, pdf):
     assert len(o) == 120 and np.allclose(o.residuals, o.actuals - o[".pred"]) and stats.agg(F.sum("n")).first()[0] == 120
     unseen = df.limit(1).withColumn("g", F.lit("w"))
     assert fitted.predict(unseen).first()[".pred"] is None
+    single = flow.finalize({"penalty": 0.0}).fit(df).predict(df).toPandas()
+    c, b = _ols(pdf[["a", "b"]].to_numpy(), pdf.y.to_numpy())
+    assert np.allclose(single[".pred"], c + single[["a", "b"]].to_numpy() @ b)
+    assert flow.finalize({"penalty": 0.0}).fit(df.limit(0)).predict(df).first()[".pred"] is None
     with pytest.raises(ValueError):
         T.WorkflowSet.from_cross({"a": ["a"]}, {"m": T.LinearSpec()}, "y").workflow_map("nothing", df, "fold")
     assert len(T.grid_regular({"penalty": (0.01, 1, "log"), "mixture": (0, 1)}, 3)) == 9 and T.grid_random({"penalty": (0, 1)}, 4) == T.grid_random({"penalty": (0, 1)}, 4)

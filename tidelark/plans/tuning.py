@@ -332,11 +332,13 @@ class FittedWorkflow:
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` (baked) with ``.pred``; groups never seen get null.
 
-        A row a group joins by equality; without groups it is one row, broadcast.
+        Groups' coefficients join by equality; without groups they are literals of a projection.
         """
         baked = self.prepared.bake(df) if self.prepared else df
-        b = self.fits.select(*self.group, "__b")
-        joined = baked.join(b, list(self.group), "left") if self.group else baked.crossJoin(F.broadcast(b))
+        if not self.group:
+            row = self.fits.first()  # one row
+            return predict_linear(baked, dict(zip(("Intercept", *self.predictors), row["__b"], strict=True))) if row else baked.withColumn(".pred", F.lit(None).cast("double"))
+        joined = baked.join(self.fits.select(*self.group, "__b"), list(self.group), "left")
         total = F.col("__b")[0]
         for i, c in enumerate(self.predictors, 1):
             total = total + F.col(f"`{c}`").cast("double") * F.col("__b")[i]
