@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import quoted, small_batches, written
 from .components import components, local_forest
+from .near_copies import drop_near_copies
 
 
 def masks(radius: int) -> list[int]:
@@ -166,25 +167,6 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id.
-
-    Six bits of shingles of three words are a SimHash similarity (the cosine
-    that the bits estimate) of 0.95 or more; the same number of bits over
-    shingles of five words would find fewer of the texts that are 0.8 alike.
-
-    Rows whose id is null are kept only if no other row of their group has an
-    id.  Of rows with that same id, the one whose text has the smallest hash.
-    """
-    rows = docs.withColumn("__fp", simhash(docs, quoted(text_col), shingle)).withColumn("__id", quoted(id_col).cast("long")).withColumn("__th", F.xxhash64(quoted(text_col)))
-    prints = written(rows.select("__id", "__fp", "__th"), "simhash")
-    distinct = written(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__th"))).alias("first")), "distinct")
-    tied = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(tied, distinct["fp"] == tied["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__id").alias("__keep"), F.col("first.__th").alias("__keep_th"))
-    stays = written(stays.distinct(), "stays")
-    kept = rows.drop("__fp").join(stays, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__th") == F.col("__keep_th")), "left_semi")
-    repeated = prints.groupBy("__id", "__th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if repeated:  # equal rows under one id
-        kept = kept.dropDuplicates(["__id", "__th"])
-    return kept.select(*[quoted(c) for c in docs.columns])
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of texts whose five-word shingles are 0.8 alike; see ``near_copies``."""
+    return drop_near_copies(docs, id_col=id_col, text_col=text_col)
