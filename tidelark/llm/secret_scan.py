@@ -1,19 +1,26 @@
 """Secret scans with structural confirmation.
 
 Three patterns give the base spans: assignments to secret-like names, access
-key ids and long lower-case hex.  Beyond them, runs of base64 or hex digits are
+key ids and long lower-case hex.  Beyond them, base64 or hex digits are
 decoded, and reported only if the bytes have the structure of a secret:
 
 - ``der``: an ASN.1 sequence whose nested lengths fill it exactly and that
-  holds a private key (PKCS#1, PKCS#8 or SEC1 shape)
+  holds a private key (PKCS#1, PKCS#8 or SEC1 shape, the algorithm a known one)
 - ``openssh``: the OpenSSH magic, then length-prefixed fields within the bytes
-- ``pem``: armour lines around a base64 body of one of the kinds above, or of
-  an encrypted key
+- ``pem``: armour lines around one of the kinds above, or around a body that
+  its header says is encrypted, of whole cipher blocks
+- ``pgp``: armour lines around an OpenPGP secret-key packet that fits
 - ``jwt``: three base64url parts, the first a JSON object with an ``alg``, the
   second a JSON object
 
-Spans are code point offsets, the end exclusive.  A null text counts as empty;
-a null id is kept.  Each row is scanned by itself, so repeated rows repeat.
+Base64 may be wrapped over lines, also by escaped line ends as in JSON strings:
+the length in a key's first bytes says how many digits belong to it.  Hex of an
+odd number of digits is no bytes.
+
+Defined results: spans are code point offsets, the end exclusive.  A null text
+counts as empty; a null id is kept.  Each row is scanned by itself, so repeated
+rows repeat; texts of any length are scanned whole, in time linear in it but
+for what keys claim (64 KB each at most).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,15 +40,28 @@ from ._common import quoted, small_batches
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----", re.A)
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}(?![A-Za-z0-9+/=_-])")
+ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?)-----", re.A)
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:;,.()\\_@<>-]*", re.A)
+LINE_END = r"(?:\\r)?\\n|\\r|\r?\n"
+HEADER = re.compile(r"^[A-Za-z-]+:.*$", re.M)
+DEK = re.compile(r"^DEK-Info: *[A-Z0-9-]+,([0-9A-Fa-f]{16,32}) *$", re.M)
+JWT_START = re.compile(r"(?<![A-Za-z0-9_-])(?=[eICD][A-Za-z0-9_-]{7,}\.)")  # "{" or white space begins with these digits
+JWT = re.compile(r"([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+KEY_START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?=M[A-I][A-Za-z0-9+/_-]{6}|b3BlbnNzaC1rZXktdjEA)")
+KEY_LINE = re.compile(rf"([A-Za-z0-9+/_-]+)(={{0,2}})((?:{LINE_END})[ \t]*(?=[A-Za-z0-9+/_-]))?")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 #: The order of kinds at equal starts.
-KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "openssh")
+KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "openssh", "pgp")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
+#: DER bodies of the object ids of private-key algorithms (RSA, RSA-PSS, DH, DSA, EC, X25519, X448, Ed25519, Ed448).
+KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a864886f70d01010a", "2a864886f70d010301", "2a8648ce380401", "2a8648ce3d0201", "2b656e", "2b656f", "2b6570", "2b6571")}
+#: The arcs of password-based encryption (PKCS#5, PKCS#12).
+PBE_ARCS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+#: The most bytes that a key may claim.
+LONGEST_KEY = 1 << 16
+
 
 def _tlv(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the contents of the DER value at ``at``, if it fits before ``end``."""
@@ -81,14 +101,14 @@ def der_key(b: bytes) -> bool:
     tags = [t for t, *_ in parts]
     if tags[0] == 0x30 and tags == [0x30, 0x04]:  # an encrypted key
         inner = _children(b, parts[0][1], parts[0][2])
-        return bool(inner) and inner[0][0] == 0x06
+        return bool(inner) and inner[0][0] == 0x06 and b[inner[0][1] : inner[0][2]].startswith(PBE_ARCS)
     if tags[0] != 0x02 or parts[0][2] - parts[0][1] != 1 or len(parts) < 3 and tags[1:2] != [0x04]:
         return False
     if len(parts) >= 6 and all(t == 0x02 for t in tags[:6]):  # PKCS#1, DSA
         return True
     if tags[1] == 0x30 and tags[2] == 0x04:  # PKCS#8
         inner = _children(b, parts[1][1], parts[1][2])
-        return bool(inner) and inner[0][0] == 0x06
+        return bool(inner) and inner[0][0] == 0x06 and b[inner[0][1] : inner[0][2]] in KEY_OIDS
     return tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC1
 
 
@@ -138,6 +158,63 @@ def key_kind(b: bytes | None) -> str | None:
     return "der" if der_key(b) else "openssh" if openssh_key(b) else None
 
 
+def pgp_key(body: str) -> bool:
+    """Whether an armoured body begins with an OpenPGP secret-key packet that fits in it."""
+    digits = [x for x in body.replace("\r", "").split("\n\n", 1)[-1].split() if not x.startswith("=")]  # without headers and checksum
+    b = unbase64("".join(digits))
+    if not b or len(b) < 8 or not b[0] & 0x80:
+        return False
+    if b[0] & 0x40:  # the newer form of lengths
+        tag, n = b[0] & 0x3F, b[1]
+        at, n = (2, n) if n < 192 else (3, ((n - 192) << 8) + b[2] + 192) if n < 224 else (6, int.from_bytes(b[2:6], "big"))
+    else:
+        tag, k = (b[0] >> 2) & 0x0F, (1, 2, 4, 0)[b[0] & 3]
+        at, n = 1 + k, int.from_bytes(b[1 : 1 + k], "big") if k else len(b) - 1
+    return tag in (5, 7) and at + n <= len(b) and n > 6 and b[at] in (3, 4, 5, 6)
+
+
+def pem_kind(label: str, body: str) -> str | None:
+    """What the lines between two armour lines hold."""
+    if not PEM_BODY.fullmatch(body):
+        return None
+    body = re.sub(LINE_END, "\n", body).strip()
+    if label.endswith("BLOCK"):
+        return "pgp" if pgp_key(body) else None
+    b = unbase64(HEADER.sub("", body))
+    if key_kind(b):
+        return "pem"
+    dek = DEK.search(body)  # a body of whole blocks, with the vector that its cipher needs
+    return "pem" if b and dek and "ENCRYPTED" in body and len(b) >= 32 and len(b) % (len(dek[1]) // 2) == 0 else None
+
+
+def key_at(text: str, at: int) -> tuple[str, int] | None:
+    """Kind and end of the base64 key that begins at ``at``, as long as its own first bytes say."""
+    need = LONGEST_KEY * 4 // 3
+    if text[at] == "M":
+        head = unbase64(text[at : at + 8])
+        n = head[1] if head else 0
+        k = n & 0x7F if n & 0x80 else 0
+        if not head or k > 4:
+            return None
+        total = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else n)
+        if not 32 <= total <= LONGEST_KEY:
+            return None
+        need = (total * 4 + 2) // 3
+    digits, have, end = [], 0, at
+    while have < need and (m := KEY_LINE.match(text, end)):
+        digits.append(m[1])
+        have += len(m[1])
+        end = m.end(2)
+        if m[2] or not m[3]:
+            break
+        if have < need:
+            end = m.end()
+    if text[at] == "M" and have != need:
+        return None
+    kind = key_kind(unbase64("".join(digits)))
+    return (kind, end) if kind else None
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
@@ -150,19 +227,25 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded bytes have the structure of a secret."""
     out = []
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"^[A-Za-z-]+:.*$", "", m[2], flags=re.M)
-            b = unbase64(body)
-            if key_kind(b) or b and "ENCRYPTED" in m[1] + m[2]:
-                out.append(("pem", m.start(), m.end()))
-    if "eyJ" in text:
-        for m in JWT.finditer(text):
-            head = _object(m[1])
-            if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
-                out.append(("jwt", m.start(), m.end()))
-    for m in BASE64.finditer(text):
-        if m[0][0] in "Mb" and (kind := key_kind(unbase64(m[0]))):  # 0x30 and "o" begin with these digits
-            out.append((kind, m.start(), m.end()))
+        begin = None  # each armour line is looked at once
+        for m in ARMOUR.finditer(text):
+            if m[1] == "END" and begin and begin[2] == m[2] and (kind := pem_kind(m[2], text[begin.end() : m.start()])):
+                out.append((kind, begin.start(), m.end()))
+            begin = m if m[1] == "BEGIN" else None
+    end = 0
+    for m in JWT_START.finditer(text):
+        if m.start() >= end and (t := JWT.match(text, m.start())):
+            head = _object(t[1])
+            if head and isinstance(head.get("alg"), str) and _object(t[2]) is not None:
+                out.append(("jwt", t.start(), t.end()))
+                end = t.end()
+    armoured = [(s, e) for k, s, e in out if k in ("pem", "pgp")]
+    end = 0
+    for m in KEY_START.finditer(text):
+        s = m.start()
+        if s >= end and not any(a <= s < b for a, b in armoured) and (found := key_at(text, s)):
+            out.append((found[0], s, found[1]))
+            end = found[1]
     for m in ANY_HEX.finditer(text):
         if m[0][:2] in ("30", "6f", "6F") and (kind := key_kind(bytes.fromhex(m[0]))):
             out.append((kind, m.start(), m.end()))
