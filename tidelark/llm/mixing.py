@@ -4,8 +4,9 @@ Sources take shares of a total number of words in proportion to weights; a
 source's target stops at ``cap`` times its size, and the excess is shared again
 by weight until no target is above.  Within a source every document expects
 ``target / size`` copies; along the documents in order of size the expected
-copies are summed up, one offset is added, and a document is emitted once for
-each whole number that its stretch of the sum crosses.  As neighbours in that
+copies are summed up, one random offset is added (drawn for each source from
+the seed), and a document is emitted once for each whole number that its
+stretch of the sum crosses.  As neighbours in that
 order are alike in size, the words taken come within about one document of the
 target.
 
@@ -16,12 +17,14 @@ it) give each row its place.
 
 Defined results: a null text has size 0, a null source is a source of its own,
 sorted last; null ids sort first among equal sizes; a source of size 0 has
-target 0 and takes nothing.  Repeated rows are separate documents.
+target 0 and takes nothing.  Repeated rows are separate documents; ties of size
+and id have equal chances and texts of any length count by their words alone.
+An empty table gives no rows.  Columns of ``docs`` may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import partitions, quoted, written
@@ -31,8 +34,8 @@ WEIGHTS = (5, 2, 1)
 SPACE = r"[^\x20\x09-\x0D]+"
 
 
-def with_size(docs: DataFrame, text_col: str = "text", name: str = "size") -> DataFrame:
-    return docs.withColumn(name, F.coalesce(F.regexp_count(quoted(text_col), F.lit(SPACE)), F.lit(0)).cast("long"))
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
@@ -59,13 +62,15 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levelled.select("__source", "source_size", target.alias("target"))
 
 
-def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2, offset: float = 0.4142135623730951) -> DataFrame:
-    """``docs`` with __source_size, __target and __copies; each row goes through one shuffle.
+def offset(source: Column, seed: int) -> Column:
+    """The random start of a source: 32 bits of the digest of seed and name, as a fraction of 1; the null source has the seed's own."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
-    ``offset`` is the random start, the same in every source, so reruns agree.
-    """
-    spark = docs.sparkSession
-    rows = docs.withColumns({"__source": quoted(source_col).cast("string"), "__size": quoted(size_col).cast("long"), "__id": quoted(id_col)})
+
+def with_copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2, seed: int = 42) -> DataFrame:
+    """``rows`` (columns __id, __source, __size and row) with __source_size, __target and __copies; each row goes through one shuffle."""
+    spark = rows.sparkSession
     order = [F.col("__source").asc_nulls_last(), F.col("__size"), F.col("__id").asc_nulls_first()]
     # a partition and place for each row, fixed by writing them
     dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
@@ -74,27 +79,29 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = spans.withColumn("__ahead", ahead)
     targets = source_targets(dealt, weights, share, cap)
-    plan = spans.withColumnRenamed("__source", "__s").join(targets, F.col("__s").eqNullSafe(F.col("__source"))).select(F.col("__part").alias("__p"), "__s", "__from", "__ahead", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    plan = spans.withColumnRenamed("__source", "__s").join(targets, F.col("__s").eqNullSafe(F.col("__source"))).select(F.col("__part").alias("__p"), "__s", "__from", "__ahead", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), offset(F.col("__s"), seed).alias("__offset"))
     plan = written(plan, "mixture-plan")
     placed = dealt.join(plan, (F.col("__part") == F.col("__p")) & F.col("__source").eqNullSafe(F.col("__s")))
     place = F.col("__ahead") + F.col("__row") - F.col("__from")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    crossed = lambda n: F.floor(rate * n + offset)
-    kept = [quoted(c) for c in docs.columns]
-    return placed.select(*kept, "__source_size", "__target", (crossed(place + 1) - crossed(place)).alias("__copies"))
+    crossed = lambda n: F.floor(rate * n + F.col("__offset"))
+    return placed.select("__id", "__size", "row", "__source_size", "__target", (crossed(place + 1) - crossed(place)).alias("__copies"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
+    return docs.select(quoted(id_col).alias("__id"), quoted(source_col).cast("string").alias("__source"), word_count(quoted(text_col)).alias("__size"), row.alias("row"))
 
 
 def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document; texts are read once and not moved."""
-    sized = with_size(docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), quoted(text_col).alias("__text")), "__text").select("doc_id", "source", "size")
+    # written before rows are dealt by ranges, which looks at them twice
+    sized = written(_keyed(docs, id_col, text_col, source_col, F.lit(None).cast("int")), "sizes")
     out = with_copies(sized, **options)
-    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as its copies say, with the columns as they are."""
-    names = {"__mix_size": None}
-    sized = with_size(docs, text_col, *names)
-    out = with_copies(sized, id_col, source_col, "__mix_size", **options)
-    many = out.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long"))))
-    return many.select(*[quoted(c) for c in docs.columns])
+    out = with_copies(_keyed(docs, id_col, text_col, source_col, F.struct(*[quoted(c) for c in docs.columns])), **options)
+    many = out.where(F.col("__copies") > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long"))))
+    return many.select("row.*")

@@ -77,8 +77,9 @@ ORACLES = {
         chosen AS (SELECT arg_min(level, cap / w) AS level FROM levels WHERE level < cap / w),
         targets AS (SELECT r.source, r.source_size, CASE WHEN c.level IS NULL OR r.cap / r.w <= c.level THEN r.cap ELSE c.level * r.w END AS target FROM ranked r CROSS JOIN chosen c),
         placed AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+            ('0x' || substr(md5('42:' || coalesce(d.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start,
             row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS n FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, ((floor(rate * n + 0.4142135623730951) - floor(rate * (n - 1) + 0.4142135623730951)) * size)::BIGINT AS taken FROM placed
+        SELECT doc_id, size, source_size, target, ((floor(rate * n + start) - floor(rate * (n - 1) + start)) * size)::BIGINT AS taken FROM placed
     """,
 }
 
