@@ -43,20 +43,22 @@ def _shrunk(edges: DataFrame) -> DataFrame:
     return edges.mapInPandas(forest, "u long, v long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``u`` and ``v``, the smallest node of u's component, for every node but those smallest.
 
     ``edges`` has long columns u and v in any order.  Alternating large-star
     and small-star steps: every node's neighbours are tied to the smallest of
     them.  Minima are aggregated before the shuffle; the joins that send them
     back are equi-joins whose large side AQE can split at a hub.  Each round is
-    written to the shared folder, the one before it deleted.
+    written to the shared folder, the one before it deleted.  Rounds go on until
+    one changes no edge: each ties some node to a smaller one, so they end, as
+    a rule after about the logarithm of the longest path.
     """
     spark = edges.sparkSession
     turned = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now, path = written_at(_shrunk(turned.distinct()).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -69,4 +71,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == mark or seen[0] == 0:
             return now
         mark = seen
-    raise RuntimeError(f"no convergence in {rounds} rounds")
