@@ -151,6 +151,7 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     odd = written(odd.select("doc_id", "hash", F.concat("hash", F.lit("-"), F.substring(F.sha2(F.col("__form").cast("binary"), 256), 1, 16)).alias("__own")).distinct(), "collisions")
     named = hashed.distinct().join(odd, ["doc_id", "hash"], "left").select("doc_id", "hash", F.coalesce("__own", "hash").alias("fingerprint"))
     sizes = hashed.join(odd, ["doc_id", "hash"], "left").groupBy(F.coalesce("__own", "hash").alias("fingerprint")).agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("group_id")).where(F.col("group_size") > 1)
+    sizes = written(sizes, "groups")  # so that the join reads both sides anew and can split a hot group
     return named.join(sizes, "fingerprint", "left").select("doc_id", "hash", "fingerprint", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
 
 
