@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, notebooks in local mode) a temporary
-    folder is made and set.
+    Only where that is unset and the session is local (tests, notebooks) a
+    temporary folder is made and set.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tidelark-"))
     return sc.getCheckpointDir()
 
 
@@ -48,9 +51,16 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts fit in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Bounds the rows and bytes of an Arrow batch, so that long texts fit in a worker.
+
+    Bounds of the session that are lower stay; they are never raised, so it
+    doesn't matter in which order operators are called.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key, None) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -79,6 +89,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = (F.xxhash64("__id"), F.col("__id"), F.col("__y"))
     picked = [known.where(F.col("__y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1]).dropDuplicates(["__id"])
-    rows = docs.select(quoted(id_col).cast("long").alias("__id"), *[quoted(c).alias(c) for c in columns])
-    out = rows.join(F.broadcast(ids), "__id").orderBy("__id").toPandas()
-    return out.drop_duplicates("__id")
+    rows = docs.select(quoted(id_col).cast("long").alias("__id"), F.struct(*[quoted(c).alias(c) for c in columns]).alias("__row"))
+    return one_by_id(rows.join(F.broadcast(ids), "__id").withColumn("__row", F.struct("__y", "__row.*")))
+
+
+def one_by_id(rows: DataFrame) -> "pandas.DataFrame":  # noqa: F821
+    """Columns ``__id`` and those of the struct ``__row``, on the driver: one row for each id, of several the one with the smallest hash.
+
+    They are told apart before they are collected, in partial aggregates, so an
+    id that is repeated without end costs a row.
+    """
+    one = rows.groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return one.select("__id", "__row.*").orderBy("__id").toPandas()

@@ -21,14 +21,24 @@ _powers: dict[str, np.ndarray] = {}
 CHUNK = 1 << 17
 
 
-def _table(test) -> np.ndarray:
-    t = np.zeros(65536, bool)
-    t[: 0x10000] = [test(chr(i)) for i in range(0x10000)]
-    return t
+class Table:
+    """A test of characters, held ready for the first 65,536 code points and asked for the others."""
 
+    def __init__(self, test):
+        self.test = test
+        self.low = np.array([test(chr(i)) for i in range(0x10000)])
 
-LETTER = _table(str.isalpha)
-SPACE = _table(str.isspace)
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        out = self.low[np.minimum(codes, 0xFFFF)]
+        high = np.flatnonzero(codes > 0xFFFF)
+        if len(high):  # few distinct ones occur in a chunk
+            seen, at = np.unique(codes[high], return_inverse=True)
+            out[high] = np.array([self.test(chr(c)) for c in seen.tolist()])[at]
+        return out
+
+
+LETTER = Table(str.isalpha)
+SPACE = Table(str.isspace)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,33 +51,57 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["i"][:n]
 
 
-def pieces(texts: Iterable[str | None], size: int = CHUNK) -> Iterator[tuple[list[int], list[str]]]:
-    """Runs of about ``size`` code points: numbers of texts and the texts.
+def _cut(text: str, start: int, size: int) -> int:
+    """Where a piece that begins at ``start`` ends: behind white space within ``size``, or else behind the next there is."""
+    cut = max(text.rfind(c, start + 1, start + size) for c in " \n\t")
+    if cut < 0:
+        cut = min((i for c in " \n\t" if (i := text.find(c, start + size)) >= 0), default=len(text) - 1)
+    return cut + 1
+
+
+def _back(text: str, cut: int, low: int, words: int) -> int:
+    """Where the last ``words`` runs of letters before ``cut`` begin, or ``low``."""
+    i, inside = cut, False
+    while i > low:
+        letter = text[i - 1].isalpha()
+        if inside and not letter:
+            words -= 1
+            if not words:
+                break
+        inside = letter
+        i -= 1
+    return i
+
+
+def pieces(texts: Iterable[str | None], size: int = CHUNK, words: int = 0) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+    """Runs of about ``size`` code points: numbers of texts, the texts, and how each counts.
 
-    A text longer than ``size`` comes in pieces that end at white space (or,
-    lacking that, anywhere), each with the same number.
+    A text longer than ``size`` comes in pieces with the same number that end
+    at white space.  With ``words``, a piece begins with so many of the words
+    before it, and these come once more by themselves and count -1: sums over
+    what lies within so many words, and maxima, are those of the whole text.
     """
-    at, run, n = [], [], 0
+    at, run, sign, n = [], [], [], 0
     for i, text in enumerate(texts):
         text = text or ""
         start = 0
         while True:
-            end = len(text)
-            if end - start > size:
-                cut = max(text.rfind(" ", start + 1, start + size), text.rfind("\n", start + 1, start + size))
-                end = cut if cut > start else start + size
-            part = text[start:end] if (start, end) != (0, len(text)) else text
+            end = _cut(text, start, size) if len(text) - start > size else len(text)
+            back = _back(text, start, 0, words) if start and words else start
+            part = text[back:end]
             if run and n + len(part) > size:
-                yield at, run
-                at, run, n = [], [], 0
-            at.append(i)
-            run.append(part)
-            n += len(part) + 1
+                yield at, run, np.array(sign)
+                at, run, sign, n = [], [], [], 0
+            for one, much in ((part, 1), (text[back:start], -1)) if back < start else ((part, 1),):
+                at.append(i)
+                run.append(one)
+                sign.append(much)
+                n += len(one) + 1
             start = end
             if start >= len(text):
                 break
     if run:
-        yield at, run
+        yield at, run, np.array(sign)
 
 
 class Points:
@@ -110,8 +144,8 @@ class Points:
         h *= _MIX
         return (h >> np.uint64(64 - bits)).astype(np.int64)
 
-    def among(self, table: np.ndarray) -> np.ndarray:
-        return table[np.minimum(self.codes, 65535)]
+    def among(self, table: Table) -> np.ndarray:
+        return table.of(self.codes)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import fold, labelled_sample, quoted, small_batches
-from ._points import LETTER, SPACE, Points, pieces, runs
+from ._points import LETTER, SPACE, Points, Table, pieces, runs
 
 BITS = 15
-UPPER = np.array([chr(i).isupper() for i in range(65536)])
-DIGIT = np.array([chr(i).isdigit() for i in range(65536)])
+UPPER = Table(str.isupper)
+DIGIT = Table(str.isdigit)
 #: Numbers that describe the structure of a text, in this order.
 STATISTICS = ("log words", "letters", "digits", "symbols", "capitals", "word length", "lines a word", "distinct words", "words with symbols", "words of symbols")
 
@@ -48,7 +48,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     rows = len(texts)
     sums = np.zeros((rows, 9))
     keys, counts = [], []
-    for at, run in pieces(texts):
+    for at, run, _ in pieces(texts):
         at = np.asarray(at)
         x = Points(run)
         raw = Points(run, lower=False)

@@ -8,15 +8,17 @@ embeddings and softmax are trained together in numpy.  A misspelling that was
 never seen shares most n-grams with the word that it stands for.
 
 A document is scored by its most toxic window of ``window`` words, as a few
-words among thousands would vanish in the mean of the whole text.  All windows
-of the whole text count.
+words among thousands would vanish in the mean of the whole text.  Every window
+of the whole text counts, whichever word it begins with.
 
 As both steps are linear, the softmax margin of a bucket is one number: scoring
 gathers a number for each subword, not a vector, with the same result.
 
-Defined results: a null or empty text, or one without letters, has the score
-of an empty window (the bias alone).  A null id is scored but never trained on.
-Without labelled rows of both classes every score is 0.
+Defined results: a null or empty text, or one without letters, has nothing
+toxic in it and score 0.  A null id is scored but never trained on; repeated
+rows are scored alike and learned from once.  Very long texts are read whole,
+in pieces that share the words of a window.  Without labelled rows of both
+classes every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,119 +76,120 @@ def _subwords(texts: list[str]):
     return x, s, e, text_of, np.concatenate(buckets), np.concatenate(owners)
 
 
+def _window_starts(number: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all windows and the words behind their last, of words that stand in order of their texts."""
+    i = np.arange(len(number))
+    last = np.searchsorted(number, number, "right")
+    start = np.flatnonzero((i + window <= last) | (np.searchsorted(number, number, "left") == i))
+    return start, np.minimum(start + window, last[start])
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(values)))
+
+
 def window_margins(texts: list[str], margin: np.ndarray, window: int) -> np.ndarray:
-    """The largest mean margin of any window of each text; 0 without words."""
+    """The largest mean margin of any window of each text; minus infinity without words."""
     texts = list(texts)
     best = np.full(len(texts), -np.inf)
-    for at, run in pieces(texts):
+    for at, run, sign in pieces(texts, words=window - 1):
         _, s, _, text_of, bucket, owner = _subwords(run)
         if not len(s):
             continue
-        n = np.bincount(owner, minlength=len(s))
-        word = np.bincount(owner, weights=margin[bucket], minlength=len(s)) / n
-        first = np.searchsorted(text_of, text_of, "left")
-        rank = (np.arange(len(s)) - first) // window
-        new = np.flatnonzero(np.concatenate(([True], (text_of[1:] != text_of[:-1]) | (rank[1:] != rank[:-1]))))
-        mean = np.add.reduceat(word, new) / np.diff(np.append(new, len(s)))
-        np.maximum.at(best, np.asarray(at)[text_of[new]], mean)
-    return np.where(np.isneginf(best), 0.0, best)
-
-
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, window: int = 3, epochs: int = 30, rate: float = 4.0, gate: float = 4.0, first_gate: float = 7.0, decay: float = 0.01, seed: int = 7) -> ToxicityModel:
-    """Descent on the whole sample: first on means of whole texts, then on the
-    windows that the model itself finds worst (one of a toxic text, three of a
-    clean one), chosen anew each epoch.  A bucket moves by its gradient over the
-    gradient's spread, and only beyond ``gate`` times that: agreement of many
-    texts counts, the accident of one does not."""
-    rng = np.random.default_rng(seed)
-    labels = np.asarray(labels, int)
-    keys, number, new_keys, sub_b, sub_n = [], [], [], [], []
-    seen = np.zeros(0, np.int64)
-    for at, run in pieces(texts, 1 << 18):
+        later = np.append(sign[1:] < 0, False)  # pieces that go on with a text
+        total = _running(np.bincount(owner, weights=margin[bucket], minlength=len(s)) / np.bincount(owner, minlength=len(s)))
+        start, end = _window_starts(text_of, window)
+        of = text_of[start]
+        counts = (sign[of] > 0) & ~(later[of] & (end - start < window))
+        start, end = start[counts], end[counts]
+        np.maximum.at(best, np.asarray(at)[text_of[start]], (total[end] - total[start]) / (end - start))
+    return best
+
+
+def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its text and its number; of each distinct word the buckets, and where they begin."""
+    number, keys, buckets, sizes, known = [], [], [], [], np.zeros(0, np.int64)
+    for at, run, sign in pieces(texts, 1 << 18):
         x, s, e, text_of, bucket, owner = _subwords(run)
         key = x.hash(s, e, 62, 2)
         keys.append(key)
         number.append(np.asarray(at, np.int32)[text_of])
-        # of each word only the first meeting gives its subwords
-        u, where = np.unique(key, return_index=True)
-        place = np.searchsorted(seen, u)
-        fresh = place == len(seen)
-        fresh[~fresh] = seen[place[~fresh]] != u[~fresh]
-        word = np.full(len(s), -1, np.int32)
+        # only the first meeting of a word gives its subwords
+        new, where = np.unique(key, return_index=True)
+        fresh = ~np.isin(new, known, assume_unique=True)
+        word = np.full(len(s), -1, np.int64)
         word[where[fresh]] = np.arange(int(fresh.sum()))
         mine = word[owner]
         order = np.argsort(mine[mine >= 0], kind="stable")
-        sub_b.append(bucket[mine >= 0][order].astype(np.int32))
-        sub_n.append(np.bincount(mine[mine >= 0], minlength=int(fresh.sum())))
-        new_keys.append(u[fresh])
-        seen = np.insert(seen, place[fresh], u[fresh])
-    if not len(seen) or len(set(labels.tolist())) < 2:
+        buckets.append(bucket[mine >= 0][order].astype(np.int32))
+        sizes.append(np.bincount(mine[mine >= 0], minlength=int(fresh.sum())))
+        known = np.concatenate((known, new[fresh]))
+    order = np.argsort(known)
+    token = order[np.searchsorted(known, np.concatenate(keys), sorter=order)].astype(np.int32) if len(known) else np.zeros(0, np.int32)
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return np.concatenate(number) if number else np.zeros(0, np.int32), token, np.concatenate(buckets) if buckets else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(size)))
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of spans, one after the other, and the span each is of."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes), of
+
+
+def train(texts: list[str], labels: np.ndarray, dim: int = 8, window: int = 3, epochs: int = 30, warm: int = 3, hard: int = 3, batch: int = 128, rate: float = 45.0, toxic_share: float = 0.4, seed: int = 1) -> ToxicityModel:
+    """Stochastic descent on the cross entropy, of embeddings, softmax and bias together.
+
+    For ``warm`` epochs an example is the mean of a whole text; then it is one
+    of the windows that the model itself finds worst, one of a toxic text and
+    ``hard`` of a clean one, chosen anew each epoch.  The rate falls to nothing
+    in even steps.  Steps are not scaled by feature, so an n-gram moves by how
+    many texts agree on it.  ``toxic_share`` of the loss is the toxic class's.
+    """
+    rng = np.random.default_rng(seed)
+    labels = np.asarray(labels, int)
+    number, token, bucket, at = _vocabulary(texts)
+    if not len(token) or len(set(labels.tolist())) < 2:
         return ToxicityModel(np.zeros((1 << BITS, dim), np.float32), np.zeros((dim, 2), np.float32), np.array([50.0, -50.0]), window)
-    new_keys, number, sub_b, sub_n = map(np.concatenate, (new_keys, number, sub_b, sub_n))
-    by_key = np.argsort(new_keys)
-    token_word = np.concatenate([by_key[np.searchsorted(seen, k)].astype(np.int32) for k in keys])
-    del keys, new_keys
-    V = len(sub_n)
-    size = 1 << BITS
-    E = rng.uniform(-1 / dim, 1 / dim, (size, dim))
-    W = rng.normal(0, 0.5, (dim, 2))
+    n_sub = np.diff(at)
+    E = np.zeros((1 << BITS, dim))
+    E[np.unique(bucket)] = rng.normal(0, 0.02, (len(np.unique(bucket)), dim))
+    W = np.array([-0.5, 0.5]) + rng.normal(0, 0.1, (dim, 2))
     b = np.zeros(2)
-    sub_w = np.repeat(np.arange(V, dtype=np.int32), sub_n)
-    sub_1 = (1.0 / sub_n)[sub_w].astype(np.float32)
-    sub_at = np.concatenate(([0], np.cumsum(sub_n)))[:-1]
-    touched = np.zeros(size, bool)
-    touched[sub_b] = True
-    E[~touched] = 0
-    # windows of every text, in order
-    rank = (np.arange(len(number)) - np.searchsorted(number, number)) // window
-    win_at = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (rank[1:] != rank[:-1]))))
-    win_text, flat_w = number[win_at], token_word
-    win_n = np.diff(np.append(win_at, len(number)))
-    win_of = np.repeat(np.arange(len(win_n), dtype=np.int32), win_n)
-    once = np.unique(number.astype(np.int64) * V + token_word)
-    once_text, once_word = (once // V).astype(np.int32), (once % V).astype(np.int32)
-    once_n = np.full(len(once), max(1.0, len(once) / len(texts)), np.float32)
-    del once
-    balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    for step in range(1, epochs + 1):
-        score = (E @ W).astype(np.float32)
-        word = np.add.reduceat(score[sub_b], sub_at, axis=0) / sub_n[:, None]
-        if step <= 5:  # an instance is a text, a word in it counts once
-            inst, token, share, y, weight = once_text, once_word, 1.0 / once_n, labels, balance
-        else:  # an instance is one of the worst windows
-            mean = np.add.reduceat(word[flat_w, 1] - word[flat_w, 0], win_at) / win_n
-            order = np.lexsort((-mean, win_text))
-            rank = np.arange(len(order)) - np.searchsorted(win_text[order], win_text[order])
-            chosen = order[rank < np.where(labels[win_text[order]] == 1, 1, 3)]
-            new = np.full(len(win_n), -1)
-            new[chosen] = np.arange(len(chosen))
-            kept = new[win_of] >= 0
-            inst, token = new[win_of[kept]], flat_w[kept]
-            share = 1.0 / win_n[win_of[kept]]
-            y = labels[win_text[chosen]]
-            weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-        logit = np.stack([np.bincount(inst, weights=word[token, c] * share, minlength=len(y)) for c in (0, 1)], 1) + b
-        logit -= logit.max(1, keepdims=True)
-        p = np.exp(logit)
-        p /= p.sum(1, keepdims=True)
-        g = (p - np.eye(2)[y]) * weight[:, None]
-        each = g[inst] * share[:, None]
-        spread = lambda x, part: np.bincount(sub_b, weights=np.bincount(token, weights=x, minlength=V)[sub_w] * part, minlength=size)
-        coef = np.stack([spread(each[:, 0], sub_1), spread(each[:, 1], sub_1)], 1)
-        noise = np.sqrt(spread(each[:, 1] ** 2, sub_1**2)) + 1e-12
-        z = coef / noise[:, None]
-        z[np.abs(z[:, 1]) < (gate if step > 5 else first_gate)] = 0  # what one or two texts alone say is no evidence
-        E -= rate * (z / max(np.abs(z).max(), 1e-9)) @ W.T
-        E *= 1 - decay
-        E[~touched] = 0
-        b -= 0.3 * g.sum(0)
-        W -= 0.02 * np.clip(E.T @ coef, -1, 1)
-    # the bias at last: where the sample's clean texts end, or half way from there to the toxic ones
-    word = np.add.reduceat((E @ (W[:, 1] - W[:, 0]))[sub_b], sub_at) / sub_n
-    top = np.full(len(texts), -np.inf)
-    np.maximum.at(top, win_text, np.add.reduceat(word[flat_w], win_at) / win_n)
-    clean, toxic = np.quantile(top[labels == 0], [0.99, 0.995]), np.quantile(top[labels == 1], 0.05)
-    b = np.array([0.0, -((clean[1] + toxic) / 2 if toxic > clean[1] else clean[0])])
+    start, end = _window_starts(number, window)
+    whole = np.searchsorted(number, np.arange(len(labels) + 1))
+    for epoch in range(epochs):
+        if epoch < warm:
+            some = np.flatnonzero(np.diff(whole))
+            first, size, y = whole[:-1][some], np.diff(whole)[some], labels[some]
+        else:
+            word = np.add.reduceat((E @ (W[:, 1] - W[:, 0]))[bucket], at[:-1]) / n_sub
+            total = _running(word[token])
+            mean = (total[end] - total[start]) / (end - start)
+            order = np.lexsort((-mean, number[start]))
+            of = number[start][order]
+            worst = order[np.arange(len(order)) - np.searchsorted(of, of) < np.where(labels[of] == 1, 1, hard)]
+            first, size, y = start[worst], (end - start)[worst], labels[number[start[worst]]]
+        toxic = int(y.sum())
+        weight = np.where(y == 1, toxic_share / max(1, toxic), (1 - toxic_share) / max(1, len(y) - toxic)) * len(y)
+        step = rate * (1 - epoch / epochs)
+        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+            where, of = _spans(first[part], size[part])
+            used, back = np.unique(token[where], return_inverse=True)
+            share = np.zeros((len(part), len(used)))
+            np.add.at(share, (of, back), 1 / size[part][of])
+            where, owner = _spans(at[used], n_sub[used])
+            sub, mine = np.unique(bucket[where], return_inverse=True)
+            vectors = np.add.reduceat(E[sub][mine], np.concatenate(([0], np.cumsum(n_sub[used])))[:-1], axis=0) / n_sub[used][:, None]
+            mean = share @ vectors
+            z = mean @ W + b
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            g = (p - np.eye(2)[y[part]]) * weight[part][:, None] / len(part)
+            each = ((share.T @ (g @ W.T)) / n_sub[used][:, None])[owner]
+            move = np.stack([np.bincount(mine, weights=each[:, d], minlength=len(sub)) for d in range(dim)], 1)
+            E[sub] -= step * (move + 1e-3 * E[sub])
+            W -= 0.05 * mean.T @ g
+            b -= 0.1 * g.sum(0)
     return ToxicityModel(E.astype(np.float32), W.astype(np.float32), b, window)
 
 
