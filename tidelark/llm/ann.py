@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import drop_scratch, partitions, quoted, written, written_at
+from ._common import drop_scratch, partitions, quoted, small_batches, written, written_at
 
 LISTS = "u long, unit binary, vs array<long>, ss array<float>, fresh array<boolean>"
 STATE = "q long, v long, s float, done int, least float"
@@ -306,6 +306,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     """
     spark = vectors.sparkSession
     neighbours, beam = max(neighbours, 2 * k), max(beam, 8 * k)
+    small_batches(spark, 2000, 16 << 20)  # a row may hold the vectors of 256 nodes
     rows = vectors.select(quoted(id_col).cast("long").alias("id"), quoted(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
     rows = written(rows.groupBy("id", "vec").agg(F.max("asks").alias("asks")).withColumn("size", F.size("vec")), "vectors")
