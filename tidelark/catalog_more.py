@@ -81,13 +81,20 @@ _query("pad_by_time", lambda spark, d: _r(O.pad_by_time(_daily(spark, d).where("
 _ord = ["o_orderdate", "o_orderkey"]
 
 
-def _folds_sql(initial: int, assess: int, skip: int, cumulative: bool, limit: int) -> str:
-    start = "0" if cumulative else f"k * {assess + skip}"
-    return f"WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS r FROM orders), f AS (SELECT k::BIGINT AS k FROM generate_series(0, {limit - 1}) AS t(k) WHERE {initial + assess} + k * {assess + skip} <= (SELECT count(*) FROM orders)) SELECT o_orderkey, (k + 1)::INT AS fold, CASE WHEN r < {initial} + k * {assess + skip} THEN 'train' ELSE 'test' END AS role FROM r JOIN f ON r >= {start} AND r < {initial + assess} + k * {assess + skip}"
+def _folds_sql(cumulative: bool) -> str:
+    """Half of the rows first, then folds of a tenth each, to the end of the table."""
+    start = "0" if cumulative else "k * a"
+    return f"WITH c AS (SELECT count(*) // 2 AS i, count(*) // 10 AS a, count(*) AS n FROM orders), r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS r FROM orders), f AS (SELECT k::BIGINT AS k, i, a FROM generate_series(0, 9) AS t(k), c WHERE i + a + k * a <= n) SELECT o_orderkey, (k + 1)::INT AS fold, CASE WHEN r < i + k * a THEN 'train' ELSE 'test' END AS role FROM r JOIN f ON r >= {start} AND r < i + a + k * a"
+
+
+def _share_folds(spark, d, cumulative: bool):
+    rows = load(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    n = rows.count()
+    return resample.time_series_folds(rows, _ord, n // 2, n // 10, cumulative=cumulative).select("o_orderkey", "fold", "role")
 
 
 for _name, _cum in (("time_series_cv_expanding", True), ("time_series_cv_rolling", False)):
-    _query(_name, lambda spark, d, cum=_cum: resample.time_series_folds(load(spark, d, "orders").select("o_orderkey", "o_orderdate"), _ord, 500, 100, 50, 0, cum, 3).select("o_orderkey", "fold", "role"), _folds_sql(500, 100, 50, _cum, 3))
+    _query(_name, lambda spark, d, cum=_cum: _share_folds(spark, d, cum), _folds_sql(_cum))
 _query("time_series_nested_cv", lambda spark, d: resample.time_series_folds(_daily(spark, d), _o, 10, 5, group=_g).select("event_type", "ts", "fold", "role"), _day + f", r AS (SELECT *, row_number() {_w} - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM s) SELECT event_type, ts, (k + 1)::INT AS fold, CASE WHEN r < 10 + 5 * k THEN 'train' ELSE 'test' END AS role FROM r JOIN generate_series(0, 10) AS t(k) ON r < 15 + 5 * k AND 15 + 5 * k <= n")
 _query("vfold_cv_strata", lambda spark, d: resample.vfold_cv(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 5, 7, "o_orderstatus"), "SELECT o_orderkey, o_orderstatus, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY (o_orderkey * 7919 + 7) % 1000003, o_orderkey) - 1) % 5 + 1)::INT AS fold FROM orders")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,32 @@ def initial_time_split(df: DataFrame, order: list[str], prop: float = 0.75, lag:
     return position(df, order).join(F.broadcast(n)).withColumn("split", split).drop("__n", "__r")  # n is one row
 
 
-def vfold_cv(df: DataFrame, key: str, v: int = 10, seed: int = 1, strata: str | None = None) -> DataFrame:
-    """``fold`` 1 to v by arithmetic on an integer key, without a shuffle; with ``strata``, dealt in turn within each."""
-    mixed = F.pmod(F.col(key) * 7919 + seed, F.lit(1000003))
+def mixed_key(df: DataFrame, key: str, seed: int) -> Column:
+    """A number below 1,000,003 for each value of a key of any type, the same in every run.
+
+    Integers are reduced before they are multiplied, so none overflows; other
+    types go by the digest of their text; null is a value too.
+    """
+    x = F.col(key)
+    if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        whole = F.pmod(F.coalesce(x, F.lit(0)).cast("long"), F.lit(1000003))
+    else:
+        whole = F.pmod(F.conv(F.substring(F.md5(F.coalesce(x.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(1000003))
+    return F.pmod(whole * 7919 + F.lit(seed % 1000003).cast("long"), F.lit(1000003))
+
+
+def vfold_cv(df: DataFrame, key: str, v: int = 10, seed: int = 1, strata: str | None = None, repeats: int = 1) -> DataFrame:
+    """``fold`` 1 to v by arithmetic on a key, without a shuffle; with ``strata``, dealt in turn within each.
+
+    With ``repeats``, every row so often, with ``repeat`` from 1 and other folds in each.
+    """
+    if repeats > 1:
+        each = [vfold_cv(df, key, v, seed + 104729 * i, strata).withColumn("repeat", F.lit(i + 1)) for i in range(repeats)]
+        out = each[0]
+        for more in each[1:]:
+            out = out.unionByName(more)
+        return out
+    mixed = mixed_key(df, key, seed)
     if strata:
         mixed = F.row_number().over(Window.partitionBy(strata).orderBy(mixed, key)) - 1
     return df.withColumn("fold", (mixed % v + 1).cast("int"))

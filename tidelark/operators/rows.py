@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.recipe import Step
 from ..plans.selectors import all_nominal, all_numeric
+from .resample import mixed_key
 from .steps import step_dummy
 
 #: Seconds of the time units that are of one length.
@@ -33,13 +34,13 @@ def step_slice(key: list[str], rows: int) -> Step:
 
 
 def step_sample(key: str, share: float, seed: int = 1) -> Step:
-    """Rows whose mixed integer ``key`` falls in ``share`` of a million: repeatable, no shuffle."""
-    return Step("sample", project=lambda df, cs, k: df.where(F.pmod(F.col(key) * 7919 + seed, F.lit(1000003)) < int(share * 1000003)))
+    """Rows whose mixed ``key`` falls in ``share`` of a million: repeatable, no shuffle."""
+    return Step("sample", project=lambda df, cs, k: df.where(mixed_key(df, key, seed) < int(share * 1000003)))
 
 
 def step_shuffle(key: str, seed: int = 1) -> Step:
     """Rows in an order that depends on ``key`` and ``seed`` alone."""
-    return Step("shuffle", project=lambda df, cs, k: df.orderBy(F.pmod(F.col(key) * 7919 + seed, F.lit(1000003)), key))
+    return Step("shuffle", project=lambda df, cs, k: df.orderBy(mixed_key(df, key, seed), key))
 
 
 def step_one_hot(columns=None) -> Step:

@@ -118,6 +118,9 @@ def step_discretize(columns=None, num_breaks: int = 4, method: str = "quantile")
     def project(df, cs, k):
         new = {}
         for c in cs:
+            if not k[c] or k[c][0] is None:  # nothing was there to learn from
+                new[c] = F.lit(None).cast("string")
+                continue
             edges = sorted(set(k[c])) if method == "quantile" else [k[c][0] + (k[c][1] - k[c][0]) * i / num_breaks for i in range(num_breaks + 1)]
             new[c] = _bins(c, edges, [f"bin_{i + 1}" for i in range(len(edges) - 1)])
         return _replace(df, new)
@@ -153,7 +156,7 @@ def step_winsorizer(columns=None, fold: float = 1.5, tail: str = "both") -> Step
 
     def project(df, cs, k):
         new = {}
-        for c in cs:
+        for c in (c for c in cs if k[c]):
             q1, q3 = k[c]
             x = F.col(c).cast("double")
             if tail in ("right", "both"):
@@ -167,13 +170,13 @@ def step_winsorizer(columns=None, fold: float = 1.5, tail: str = "both") -> Step
 
 
 def step_outlier_trimmer(columns=None, fold: float = 1.5) -> Step:
-    """Rows with a value beyond the winsorizer's limits go."""
+    """Rows with a value beyond the winsorizer's limits go; a null lies beyond nothing."""
     wanted = lambda cs: {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in cs}
 
     def project(df, cs, k):
-        for c in cs:
+        for c in (c for c in cs if k[c]):
             q1, q3 = k[c]
-            df = df.where(F.col(c).between(q1 - fold * (q3 - q1), q3 + fold * (q3 - q1)))
+            df = df.where(F.col(c).isNull() | F.col(c).between(q1 - fold * (q3 - q1), q3 + fold * (q3 - q1)))
         return df
 
     return Step("outlier_trimmer", columns, all_numeric(), wanted, None, project)
@@ -243,18 +246,25 @@ def step_zv(columns=None) -> Step:
 
 
 def step_filter_missing(columns=None, threshold: float = 0.5) -> Step:
-    return Step("filter_missing", columns, None, lambda cs: {c: F.avg(F.col(c).isNull().cast("int")) for c in cs}, None, lambda df, cs, k: df.drop(*_drop(k, lambda v: v > threshold)))
+    return Step("filter_missing", columns, None, lambda cs: {c: F.avg(F.col(c).isNull().cast("int")) for c in cs}, None, lambda df, cs, k: df.drop(*_drop(k, lambda v: v is not None and v > threshold)))
 
 
 def step_nzv(columns=None, freq_cut: float = 19.0, unique_cut: float = 10.0) -> Step:
     """Columns dominated by one value, with few distinct ones, go; all-null ones too."""
 
     def learn(df, cs):
-        out, n = {}, df.count()
+        # all columns' values are counted in one pass; a row a column comes back
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cs])).alias("e")).select("e.c", "e.v")
+        counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        there = F.col("v").isNotNull()
+        top = F.max(F.when(there, F.struct("n", "v"))).alias("top")
+        first = counts.groupBy("c").agg(F.sum("n").alias("rows"), F.count("v").alias("distinct"), top)
+        second = counts.join(F.broadcast(first.select("c", "top")), "c").where(there & (F.col("v") != F.col("top.v"))).groupBy("c").agg(F.max("n").alias("next"))
+        known = {r["c"]: r for r in first.join(second, "c", "left").collect()}
+        out = {}
         for c in cs:
-            top = [r["count"] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count")).limit(2).collect()]
-            distinct = df.agg(F.count_distinct(c)).first()[0]
-            out[c] = not top or (len(top) == 1 or top[0] / top[1] > freq_cut) and 100 * distinct / n < unique_cut
+            r = known.get(c)
+            out[c] = r is None or r["top"] is None or (r["next"] is None or r["top"]["n"] / r["next"] > freq_cut) and 100 * r["distinct"] / r["rows"] < unique_cut
         return out
 
     return Step("nzv", columns, all_numeric(), None, learn, lambda df, cs, k: df.drop(*_drop(k, bool)))
@@ -280,8 +290,11 @@ def step_select_corr(columns=None, threshold: float = 0.9) -> Step:
     return Step("select_corr", columns, all_numeric(), None, learn, lambda df, cs, k: df.drop(*_drop(k, bool)))
 
 
-def step_pca(columns=None, num_comp: int = 2, prefix: str = "PC") -> Step:
-    """Principal components from one covariance aggregate; the largest loading of each is positive."""
+def step_pca(columns=None, num_comp: int = 2, prefix: str = "PC", threshold: float | None = None) -> Step:
+    """Principal components from one covariance aggregate; the largest loading of each is positive.
+
+    With ``threshold``, as many as hold that share of the variance, whatever ``num_comp``.
+    """
 
     def learn(df, cs):
         pairs = [(i, j) for i in range(len(cs)) for j in range(i, len(cs))]
@@ -289,13 +302,14 @@ def step_pca(columns=None, num_comp: int = 2, prefix: str = "PC") -> Step:
         cov = np.zeros((len(cs), len(cs)))
         for (i, j), v in zip(pairs, row[len(cs) :], strict=True):
             cov[i, j] = cov[j, i] = v
-        _, vec = np.linalg.eigh(cov)
-        vec = vec[:, ::-1][:, :num_comp]
+        val, vec = np.linalg.eigh(cov)
+        n = num_comp if threshold is None else int(np.searchsorted(np.cumsum(val[::-1]) / val.sum(), threshold - 1e-12)) + 1
+        vec = vec[:, ::-1][:, :n]
         vec *= np.sign(vec[np.abs(vec).argmax(0), range(vec.shape[1])])
         return {"mean": list(row[: len(cs)]), "load": vec.tolist()}
 
     def project(df, cs, k):
-        new = {f"{prefix}{f + 1}": sum(((F.col(c) - m) * row[f] for c, m, row in zip(cs, k["mean"], k["load"], strict=True)), F.lit(0.0)) for f in range(num_comp)}
+        new = {f"{prefix}{f + 1}": sum(((F.col(c) - m) * row[f] for c, m, row in zip(cs, k["mean"], k["load"], strict=True)), F.lit(0.0)) for f in range(len(k["load"][0]))}
         return df.withColumns(new).drop(*cs)
 
     return Step("pca", columns, all_numeric(), None, learn, project)

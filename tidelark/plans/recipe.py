@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 
-from .selectors import resolve
+from ..sources.tables import nan_to_null
+from .selectors import resolve, with_roles
 
 
 @dataclass(frozen=True)
@@ -50,16 +51,23 @@ class FittedStep:
 
 @dataclass(frozen=True)
 class Recipe:
+    """``roles`` says what columns are for (outcome, id, ...); those without a role are predictors."""
+
     steps: tuple[Step, ...] = field(default_factory=tuple)
+    roles: dict[str, str] = field(default_factory=dict)
 
     def add(self, *steps: Step) -> "Recipe":
-        return Recipe((*self.steps, *steps))
+        return Recipe((*self.steps, *steps), self.roles)
+
+    def update_role(self, *columns: str, role: str) -> "Recipe":
+        return Recipe(self.steps, self.roles | dict.fromkeys(columns, role))
 
     def prep(self, train: DataFrame) -> "FittedRecipe":
-        fitted, df = [], train
-        for step in self.steps:
-            fitted.append(step.prep(df))
-            df = fitted[-1].bake(df)
+        fitted, df = [], nan_to_null(train)
+        with with_roles(self.roles):
+            for step in self.steps:
+                fitted.append(step.prep(df))
+                df = fitted[-1].bake(df)
         return FittedRecipe(tuple(fitted))
 
 
@@ -68,6 +76,7 @@ class FittedRecipe:
     steps: tuple[FittedStep, ...]
 
     def bake(self, df: DataFrame) -> DataFrame:
+        df = nan_to_null(df)
         for step in self.steps:
             df = step.bake(df)
         return df

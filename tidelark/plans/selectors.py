@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame
 
@@ -50,6 +52,45 @@ def none_of(*names: str) -> Selector:
     return lambda df: [c for c in df.columns if c not in names]
 
 
+#: The roles of the recipe that is being prepared.
+_ROLES: ContextVar[dict[str, str]] = ContextVar("roles", default={})
+
+
+@contextmanager
+def with_roles(roles: dict[str, str]):
+    token = _ROLES.set(roles)
+    try:
+        yield
+    finally:
+        _ROLES.reset(token)
+
+
+def has_role(role: str) -> Selector:
+    """Columns of that role in the recipe; without one a column is a predictor."""
+    return lambda df: [c for c in df.columns if _ROLES.get().get(c, "predictor") == role]
+
+
+def all_predictors() -> Selector:
+    return has_role("predictor")
+
+
+def all_outcomes() -> Selector:
+    return has_role("outcome")
+
+
+def all_numeric_predictors() -> Selector:
+    return intersection(all_numeric(), all_predictors())
+
+
+def all_nominal_predictors() -> Selector:
+    return intersection(all_nominal(), all_predictors())
+
+
+def where(test: Callable) -> Selector:
+    """Columns whose field of the schema passes the test."""
+    return lambda df: [f.name for f in df.schema.fields if test(f)]
+
+
 def union(*selectors: Selector) -> Selector:
     return lambda df: [c for c in df.columns if any(c in s(df) for s in selectors)]
 

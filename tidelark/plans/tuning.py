@@ -150,7 +150,10 @@ def _table(results: DataFrame, metric: str) -> tuple[pd.DataFrame, int]:
     """Configurations by folds, as losses: one cell a model and fold, bounded by the grid."""
     wide = results.where(F.col("metric") == metric).select("wflow_id", "`.config`", "fold", "value").toPandas()
     wide["model"] = list(zip(wide["wflow_id"], wide[".config"], strict=True))
-    sign = 1 if metric in ranking.MINIMISED else -1
+    if metric in ranking.NEAR_ZERO:
+        raise ValueError(f"{metric} has no direction to race in")
+    sign = -1 if metric in ranking.MORE else 1
+    ranking.cost(metric, F.lit(0.0))  # raises for a metric that is not known
     return sign * wide.pivot(index="model", columns="fold", values="value").sort_index(axis=0).sort_index(axis=1), sign
 
 
@@ -202,7 +205,10 @@ def _race(results: DataFrame, metric: str, keep: Callable[[np.ndarray, float], n
 
 
 def tune_race_anova(results: DataFrame, metric: str = "rmse", burn_in: int = 3, alpha: float = 0.05, num_ties: int = 10) -> DataFrame:
-    """wflow_id, .config, n folds used, mean over them and ``pass``: from ``burn_in`` folds on, models shown worse leave."""
+    """wflow_id, .config, n folds used, mean over them and ``pass``: from ``burn_in`` folds on, models shown worse leave.
+
+    A filter of finished results: linear models of all folds come from one aggregate, so no fit is saved.
+    """
     return _race(results, metric, _pass_anova, burn_in, alpha, num_ties)
 
 

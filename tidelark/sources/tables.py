@@ -13,4 +13,5 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in float columns becomes NULL, in one projection."""
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*[F.when(~F.isnan(name(c)), name(c)).alias(c) if c in floats else name(c) for c in df.columns]) if floats else df
