@@ -136,7 +136,7 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(of)) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes), of
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, window: int = 3, epochs: int = 30, warm: int = 3, hard: int = 3, batch: int = 128, rate: float = 45.0, toxic_share: float = 0.4, seed: int = 1) -> ToxicityModel:
+def train(texts: list[str], labels: np.ndarray, dim: int = 8, window: int = 3, epochs: int = 40, warm: int = 3, hard: int = 3, batch: int = 128, rate: float = 40.0, toxic_share: float = 0.4, seed: int = 1) -> ToxicityModel:
     """Stochastic descent on the cross entropy, of embeddings, softmax and bias together.
 
     For ``warm`` epochs an example is the mean of a whole text; then it is one
