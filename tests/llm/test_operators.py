@@ -165,7 +165,7 @@ def test_nearest(spark):
     x[7] = x[50]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (950, [0.0] * 16), (1000, [float("nan")] * 16), (1050, [None] * 16)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.search(table, F.col("vec_id") % 50 == 0, block=64, pivots=8, trees=3, neighbours=12).collect()
+    got = ann.search(table, F.col("vec_id") % 50 == 0, block=64, cell=38, trees=3, neighbours=12).collect()
     s = (x @ x.T) / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None])
     want = {(i, k + 1, int(j)) for i in range(0, 300, 50) for k, j in enumerate([j for j in np.lexsort((np.arange(300), -s[i])) if j != i][:5])}
     assert len(want & {(r.query_id, r["rank"], r.vec_id) for r in got}) >= 0.9 * len(want)
