@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.recipe import Step
 from ..plans.selectors import all_nominal, all_numeric
+from .level_steps import levels
 from .steps import _replace
 
 
@@ -183,39 +184,38 @@ def step_time(column: str) -> Step:
     return Step("time", project=lambda df, cs, k: df.withColumns({f"{column}_hour": F.hour(column), f"{column}_minute": F.minute(column), f"{column}_second": F.second(column), f"{column}_am": (F.hour(column) < 12).cast("int")}))
 
 
-def check_missing(columns=None) -> Step:
-    """The bake stops at the first null, where the rows are read."""
+def _check(name: str, columns, default, aggregates, learn, fails: Callable, action: str) -> Step:
+    """``action`` "raise" stops the bake, where the rows are read, at the first failure; "flag" adds ``<c>_failed`` to every row."""
+    if action not in ("raise", "flag"):
+        raise ValueError(f"unknown action {action}")
 
     def project(df, cs, k):
-        return df.withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"missing value in {c}")).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in cs})
+        failed = {c: fails(c, k) for c in cs}
+        if action == "flag":
+            return df.withColumns({f"{c}_failed": F.coalesce(v, F.lit(False)) for c, v in failed.items()})
+        return df.withColumns({c: F.when(v, F.raise_error(F.lit(f"{name} fails for {c}")).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in failed.items()})
 
-    return Step("check_missing", columns, None, None, None, project)
+    return Step(name, columns, default, aggregates, learn, project)
 
 
-def check_range(columns=None, slack: float = 0.05) -> Step:
-    """The bake stops at a value farther than ``slack`` of the training range outside it."""
+def check_missing(columns=None, action: str = "raise") -> Step:
+    """No value may be null."""
+    return _check("check_missing", columns, None, None, None, lambda c, k: F.col(c).isNull(), action)
 
-    def project(df, cs, k):
-        out = {}
-        for c in cs:
-            lo, hi = k[f"lo_{c}"], k[f"hi_{c}"]
-            beyond = (F.col(c) < lo - slack * (hi - lo)) | (F.col(c) > hi + slack * (hi - lo)) if lo is not None else F.lit(False)
-            out[c] = F.when(beyond, F.raise_error(F.lit(f"{c} outside its training range")).cast(df.schema[c].dataType)).otherwise(F.col(c))
-        return df.withColumns(out)
-
-    return Step("check_range", columns, all_numeric(), lambda cs: {f"{f}_{c}": a(c) for c in cs for f, a in (("lo", F.min), ("hi", F.max))}, None, project)
 
+def check_range(columns=None, slack: float = 0.05, action: str = "raise") -> Step:
+    """No value may lie farther than ``slack`` of the training range outside it."""
 
-def check_new_values(columns=None) -> Step:
-    """The bake stops at a level that training did not have."""
+    def fails(c, k):
+        lo, hi = k[f"lo_{c}"], k[f"hi_{c}"]
+        return (F.col(c) < lo - slack * (hi - lo)) | (F.col(c) > hi + slack * (hi - lo)) if lo is not None else F.lit(False)
 
-    def learn(df, cs):
-        return {c: [r[0] for r in df.select(c).distinct().dropna().collect()] for c in cs}
+    return _check("check_range", columns, all_numeric(), lambda cs: {f"{f}_{c}": a(c) for c in cs for f, a in (("lo", F.min), ("hi", F.max))}, None, fails, action)
 
-    def project(df, cs, k):
-        return df.withColumns({c: F.when(F.col(c).isNotNull() & ~F.col(c).isin(*k[c]), F.raise_error(F.lit(f"new value in {c}")).cast("string")).otherwise(F.col(c)) for c in cs})
 
-    return Step("check_new_values", columns, all_nominal(), None, learn, project)
+def check_new_values(columns=None, action: str = "raise") -> Step:
+    """No level may be one that training did not have; null is not a level."""
+    return _check("check_new_values", columns, all_nominal(), None, levels, lambda c, k: F.col(c).isNotNull() & ~F.col(c).isin(*k[c]), action)
 
 
 def check_cols(names: list[str]) -> Step:
