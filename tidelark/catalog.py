@@ -186,12 +186,12 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_extra, catalog_models, catalog_more, catalog_sql, catalog_steps  # noqa: F401, register their queries
+    from . import catalog_extra, catalog_flows, catalog_models, catalog_more, catalog_sql, catalog_steps  # noqa: F401, register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_extra, catalog_models, catalog_more, catalog_sql, catalog_steps  # noqa: F401, register their queries
+    from . import catalog_extra, catalog_flows, catalog_models, catalog_more, catalog_sql, catalog_steps  # noqa: F401, register their queries
 
     return dict(SQL)

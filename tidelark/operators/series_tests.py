@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import f_tail
+from ..plans.recipe import Step
+from ..plans.selectors import all_numeric
 
 #: Large-sample critical values of the Dickey-Fuller t statistic with a constant, at 1, 5 and 10 percent.
 DICKEY_FULLER = {0.01: -3.43, 0.05: -2.86, 0.1: -2.57}
+#: Those of residuals of a regression of two series, with a constant.
+ENGLE_GRANGER = {0.01: -3.9, 0.05: -3.34, 0.1: -3.04}
 
 
 def adf_test(df: DataFrame, col: str, group: list[str], order: list[str], alpha: float = 0.05) -> DataFrame:
@@ -72,3 +76,101 @@ def reconcile_bottom_up(base: DataFrame, levels: list[str], step: list[str]) ->
     """Forecasts ``.pred`` of the lowest level summed up for every level above, by one rollup for each step."""
     sets = [[*levels[:i], *step] for i in range(len(levels), -1, -1)]
     return base.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*levels, *step)]).agg(F.sum("`.pred`").alias(".pred"))
+
+
+def reconcile_ols(base: DataFrame, parent: list[str], child: list[str]) -> DataFrame:
+    """Forecasts ``.pred`` of parents (``child`` null) and their children made to add up by least squares, every error weighing alike.
+
+    With k children, each and their sum share the gap between the parent's
+    forecast and the children's: a child gets gap / (k + 1) more.  Rows with a
+    null parent key are left out.
+    """
+    is_parent = F.lit(True)
+    for c in child:
+        is_parent = is_parent & F.col(c).isNull()
+    rows = base.dropna(subset=parent).withColumn("__parent", is_parent)
+    sums = rows.groupBy(*parent).agg(F.sum(F.when(~F.col("__parent"), F.col("`.pred`"))).alias("__sum"), F.sum((~F.col("__parent")).cast("long")).alias("__k"), F.max(F.when(F.col("__parent"), F.col("`.pred`"))).alias("__top"))
+    share = (F.coalesce("__top", "__sum") - F.coalesce("__sum", "__top")) / (F.col("__k") + 1)
+    new = F.when(F.col("__parent"), F.coalesce("__sum", "__top") + F.col("__k") * share).otherwise(F.col("`.pred`") + share)
+    return rows.join(sums, parent).withColumn(".pred", new).drop("__parent", "__sum", "__k", "__top")
+
+
+def reconcile_middle_out(base: DataFrame, history: DataFrame, y: str, top: list[str], middle: list[str], child: list[str]) -> DataFrame:
+    """Forecasts ``.pred`` of the middle level summed up to ``top`` and dealt down to the children by their shares of history, all levels in one table (missing levels null)."""
+    down = reconcile_top_down(base, history, y, [*top, *middle], child).select(*top, *middle, *child, "`.pred`")
+    kinds = dict(history.dtypes)
+    none = lambda cs: [F.lit(None).cast(kinds[c]).alias(c) for c in cs]
+    middle_rows = base.select(*top, *middle, *none(child), "`.pred`")
+    up = base.groupBy(*top).agg(F.sum("`.pred`").alias(".pred")).select(*top, *none(middle), *none(child), "`.pred`")
+    return up.unionByName(middle_rows).unionByName(down)
+
+
+def cointegrated(df: DataFrame, y: str, xs: list[str], group: list[str], order: list[str], alpha: float = 0.05) -> DataFrame:
+    """``column_name`` and, by group, ``statistic`` and ``cointegrated``: whether what is left of ``y`` after its regression on the column stands still.
+
+    The residuals' Dickey-Fuller t without lagged changes, against the
+    large-sample critical values of two series.
+    """
+    out = None
+    for x in xs:
+        fit = df.groupBy(*group).agg(F.regr_slope(y, x).alias("__b"), F.regr_intercept(y, x).alias("__a"))
+        left = df.join(fit, group).withColumn("__e", F.col(y) - F.col("__a") - F.col("__b") * F.col(x)).select(*group, *order, "__e")
+        one = adf_test(left, "__e", group, order).select(F.lit(x).alias("column_name"), *group, "statistic", (F.col("statistic") < ENGLE_GRANGER[alpha]).alias("cointegrated"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _series_step(name: str, columns, passes) -> Step:
+    """A step that drops the columns that fail in any group; ``passes(df, cs)`` gives column_name and ``ok`` by group."""
+
+    def learn(df, cs):
+        rows = passes(df, cs).groupBy("column_name").agg(F.min(F.coalesce("ok", F.lit(False)).cast("int")).alias("ok")).collect()  # a row a column
+        ok = {r["column_name"] for r in rows if r["ok"]}
+        return {c: c not in ok for c in cs}
+
+    return Step(name, columns, all_numeric(), None, learn, lambda df, cs, k: df.drop(*[c for c in cs if k.get(c)]))
+
+
+def step_select_cointegration(outcome: str, columns, group: list[str], order: list[str], alpha: float = 0.05) -> Step:
+    """Columns that are cointegrated with the outcome in every group stay."""
+    return _series_step("select_cointegration", columns, lambda df, cs: cointegrated(df, outcome, [c for c in cs if c != outcome], group, order, alpha).withColumnRenamed("cointegrated", "ok"))
+
+
+def step_select_stationary(columns, group: list[str], order: list[str], alpha: float = 0.05) -> Step:
+    """Columns that stand still in every group stay."""
+
+    def passes(df, cs):
+        each = [adf_test(df, c, group, order, alpha).select(F.lit(c).alias("column_name"), F.col("stationary").alias("ok")) for c in cs]
+        out = each[0]
+        for e in each[1:]:
+            out = out.unionByName(e)
+        return out
+
+    return _series_step("select_stationary", columns, passes)
+
+
+def step_select_granger(outcome: str, columns, group: list[str], order: list[str], lags: int = 1, alpha: float = 0.05) -> Step:
+    """Columns whose lags help to predict the outcome in every group stay."""
+
+    def passes(df, cs):
+        each = [granger(df, outcome, c, group, order, lags).select(F.lit(c).alias("column_name"), (F.col("p_value") < alpha).alias("ok")) for c in cs if c != outcome]
+        out = each[0]
+        for e in each[1:]:
+            out = out.unionByName(e)
+        return out
+
+    return _series_step("select_granger", columns, passes)
+
+
+def seasonal_strength(df: DataFrame, columns: list[str], period: int, group: list[str], order: list[str]) -> DataFrame:
+    """``column_name`` and, by group, ``strength``: the correlation of a column's changes with those ``period`` rows before."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    changes = df.select(*group, *order, *[(F.col(c) - F.lag(c).over(w)).alias(c) for c in columns])
+    lagged = changes.select(*group, *columns, *[F.lag(c, period).over(w).alias(f"__{c}") for c in columns])
+    wide = lagged.groupBy(*group).agg(*[F.corr(c, f"__{c}").alias(c) for c in columns])
+    return wide.unpivot(group, columns, "column_name", "strength")
+
+
+def step_select_seasonal(columns, period: int, group: list[str], order: list[str], threshold: float = 0.3) -> Step:
+    """Columns whose seasonal strength exceeds ``threshold`` in every group stay."""
+    return _series_step("select_seasonal", columns, lambda df, cs: seasonal_strength(df, cs, period, group, order).withColumn("ok", F.col("strength") > threshold))
