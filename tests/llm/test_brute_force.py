@@ -44,6 +44,20 @@ def test_neighbours_with_defaults(spark, n):
     assert hits >= 0.95 * sum(map(len, want.values())) * (n > 1)
 
 
+def test_beam_grows_until_recall_is_reached(spark):
+    x = np.random.default_rng(1).normal(size=(4000, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table, F.col("vec_id") % 50 == 0, neighbours=10, beam=40).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r.query_id, set()).add(r.vec_id)
+    sims = u[::50] @ u.T
+    sims[np.arange(80), np.arange(0, 4000, 50)] = -9
+    true = np.argsort(-sims, axis=1)[:, :5]
+    assert sum(len(near[50 * i] & set(t.tolist())) for i, t in enumerate(true)) / 400 > 0.93  # 0.9 with the first beam
+
+
 def test_neighbours_of_equal_short_and_long_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0]), (5, [1.0]), (6, [2.0]), (7, [1.0] * 5000), (None, [1.0, 0.0])]
     out = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).collect()}

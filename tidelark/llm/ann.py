@@ -297,7 +297,35 @@ def _search(queries: DataFrame, lists: DataFrame, table: str, beam: int) -> Data
         found = front.join(graph, "node").select("q", "qunit", "least", "near", "units").mapInArrow(expand, STATE)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 48, take: int = 10, settled: float = 0.02, beam: int = 128, trees: int = 6, cell: int = 256, block: int = 1024) -> DataFrame:
+def _recall(nodes: DataFrame, queries: DataFrame, found: DataFrame, k: int, probes: int) -> float:
+    """The share of the true ``k`` nearest nodes of ``probes`` queries, drawn by hash, that were found: one pass over the nodes."""
+    spark = nodes.sparkSession
+    asked = queries.orderBy(F.xxhash64("q"), "q").limit(probes).collect()
+    ids = np.array([r["q"] for r in asked], np.int64)
+    shared = spark.sparkContext.broadcast((ids, np.stack([np.frombuffer(r["qunit"], np.int16).astype(np.float32) for r in asked])))
+
+    def nearest(batches):
+        q, x = shared.value
+        v, s = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.float32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy()
+            near = x @ _units(batch.column("unit")).T
+            near[q[:, None] == node] = -np.inf
+            s, v = np.concatenate((s, near), 1), np.concatenate((v, np.broadcast_to(node, near.shape)), 1)
+            o = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            s, v = np.take_along_axis(s, o, 1), np.take_along_axis(v, o, 1)
+        there = np.isfinite(s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q[:, None], v.shape)[there]), pa.array(v[there]), pa.array(s[there], pa.float32())], ["q", "v", "s"])
+
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "v"))
+    true = nodes.select("node", "unit").mapInArrow(nearest, "q long, v long, s float").withColumn("r", best).where(F.col("r") <= k).select("q", "v")
+    hit = found.select("q", "v", F.lit(1).alias("hit"))
+    return true.join(hit, ["q", "v"], "left").agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0))).first()[0]
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 48, take: int = 10, settled: float = 0.02, beam: int = 128, trees: int = 6, cell: int = 256, block: int = 1024, target: float = 0.95, probes: int = 64) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of each row that meets ``is_query``, the row itself left out.
 
     ``is_query`` is a condition on ``id_col``.  All other rows are candidates.
@@ -313,20 +341,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     sizes = [r[0] for r in rows.groupBy("size").agg(F.max("asks").alias("asks")).where("asks").select("size").orderBy("size").collect()]
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for size in sizes:  # a table has one length as a rule
-        found = _search_length(rows.where(F.col("size") == size), k, neighbours, take, settled, beam, trees, cell, block)
+        found = _search_length(rows.where(F.col("size") == size), k, neighbours, take, settled, beam, trees, cell, block, target, probes)
         out = found if size == sizes[0] else out.unionByName(found)
     return out
 
 
-def _search_length(rows: DataFrame, k: int, neighbours: int, take: int, settled: float, beam: int, trees: int, cell: int, block: int) -> DataFrame:
+def _search_length(rows: DataFrame, k: int, neighbours: int, take: int, settled: float, beam: int, trees: int, cell: int, block: int, target: float, probes: int) -> DataFrame:
     spark = rows.sparkSession
     grouped = rows.groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("members"), F.max("asks").alias("asks"))
     nodes = written(grouped.select("node", "members", "asks", "vec", _unit_bytes(F.col("vec")).alias("unit")), "nodes")
-    lists = neighbour_graph(nodes, nodes.count(), neighbours, take, settled, trees, cell, block)
+    n = nodes.count()
+    lists = neighbour_graph(nodes, n, neighbours, take, settled, trees, cell, block)
     queries = nodes.where("asks").select(F.col("node").alias("q"), F.col("unit").alias("qunit"))
     table = _graph_table(lists)
     try:
         found = _search(queries, lists, table, beam)
+        while n > block and beam < n and _recall(nodes, queries, found, k, probes) < target:
+            beam *= 2
+            found = _search(queries, lists, table, beam)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "v"))
