@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _daily, _day, _g, _o, _query, _r, _w
+from .catalog_sql import eliminated
 from .functions import survival as SV
+from .operators import basis_steps as BS
 from .operators import joins as J
 from .operators import resample
 from .operators import series_tests as ST
@@ -150,3 +152,25 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
 
 
 _query("summarize_stream", _streamed, "WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, value FROM events) SELECT window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
+
+
+# bases, depths, profiles
+_whole = lambda step, *keep: lambda spark, d: (lambda t: _r(Recipe().add(step).prep(t).bake(t).select("l_orderkey", "l_linenumber", *keep), *keep))(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag"))
+_hats = "WITH k AS (SELECT min(l_quantity)::DOUBLE AS a, median(l_quantity)::DOUBLE AS m, max(l_quantity)::DOUBLE AS b FROM lineitem), h AS (SELECT l_orderkey, l_linenumber, a, m, b, greatest(0, (m - l_quantity) / (m - a)) AS h0, CASE WHEN l_quantity <= m THEN (l_quantity - a) / (m - a) ELSE (b - l_quantity) / (b - m) END AS h1, greatest(0, (l_quantity - m) / (b - m)) AS h2 FROM lineitem, k) SELECT l_orderkey, l_linenumber, "
+_query("step_spline_monotone", _whole(BS.step_spline_monotone(["l_quantity"], 2, 1), "l_quantity_monotone_1", "l_quantity_monotone_2"), _hats + "round(h1 + h2, 6) AS l_quantity_monotone_1, round(h2, 6) AS l_quantity_monotone_2 FROM h")
+_query("step_spline_nonnegative", _whole(BS.step_spline_nonnegative(["l_quantity"], 2, 1), *[f"l_quantity_nonnegative_{i}" for i in (1, 2, 3)]), _hats + "round(2 * h0 / (m - a), 6) AS l_quantity_nonnegative_1, round(2 * h1 / (b - a), 6) AS l_quantity_nonnegative_2, round(2 * h2 / (b - m), 6) AS l_quantity_nonnegative_3 FROM h")
+_of_class = "(SELECT avg(l_quantity) AS q, avg(l_tax) AS t, var_samp(l_quantity) AS a, var_samp(l_tax) AS c, covar_samp(l_quantity, l_tax) AS b FROM lineitem WHERE l_returnflag = '{v}') AS {v}"
+_far = "({v}.c * (l_quantity - {v}.q) ** 2 - 2 * {v}.b * (l_quantity - {v}.q) * (l_tax - {v}.t) + {v}.a * (l_tax - {v}.t) ** 2) / ({v}.a * {v}.c - {v}.b ** 2)"
+_query("step_depth", _whole(BS.step_depth("l_returnflag", ["l_quantity", "l_tax"]), *[f"depth_{v}" for v in "ANR"]), "SELECT l_orderkey, l_linenumber, " + ", ".join(f'round(1 / (1 + {_far.format(v=v)}), 6) AS "depth_{v}"' for v in "ANR") + " FROM lineitem, " + ", ".join(_of_class.format(v=v) for v in "ANR"))
+_query("step_profile", lambda spark, d: (lambda t: _r(Recipe().add(BS.step_profile("l_quantity", points=8)).prep(t).bake(t), "l_quantity", "l_tax"))(load(spark, d, "lineitem").select("l_quantity", "l_tax", "l_returnflag")), "SELECT round(a + i * (b - a) / 7, 6) AS l_quantity, round(t, 6) AS l_tax, r AS l_returnflag FROM range(8) AS g(i), (SELECT min(l_quantity)::DOUBLE AS a, max(l_quantity)::DOUBLE AS b, avg(l_tax) AS t FROM lineitem), (SELECT l_returnflag AS r FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+_query("step_impute_bag", lambda spark, d: (lambda t: _r(Recipe().add(BS.step_impute_bag(["gap"], ["l_quantity", "l_tax"], 5)).prep(t).bake(t), "gap"))(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", F.when(F.col("l_quantity") > 9, F.col("l_extendedprice")).alias("gap"))))
+
+
+def _additive(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    fitted = BS.gen_additive_mod("l_extendedprice", ["l_quantity", "l_discount"], 1).fit(t)
+    return fitted.predict(t).select(F.round("l_quantity_ns_1", 6).alias("l_quantity"), F.round("l_discount_ns_1", 6).alias("l_discount"), F.round("`.pred`", 2).alias("pred"))
+
+
+_terms = {"q": "l_quantity", "d": "l_discount", "y": "l_extendedprice"}
+_query("gen_additive_mod_lines", _additive, "WITH " + eliminated("lineitem", _terms, ["d", "q"], "a") + ", " + eliminated("lineitem", _terms, ["q", "d"], "b") + ", c AS (SELECT a1.q_y / a1.q_q AS bq, b1.d_y / b1.d_d AS bd FROM a1, b1), m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_extendedprice) AS y FROM lineitem) SELECT round(l_quantity, 6) AS l_quantity, round(l_discount, 6) AS l_discount, round(m.y + bq * (l_quantity - q) + bd * (l_discount - d), 2) AS pred FROM lineitem, c, m")
