@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from ._common import quoted, small_batches, written
 from .components import components, local_forest
-from .near_copies import drop_near_copies
 
 
 def masks(radius: int) -> list[int]:
@@ -169,4 +169,4 @@ def hex_digits(fp: Column) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of texts whose five-word shingles are 0.8 alike; see ``near_copies``."""
-    return drop_near_copies(docs, id_col=id_col, text_col=text_col)
+    return near_copies.drop_near_copies(docs, id_col=id_col, text_col=text_col)
