@@ -152,6 +152,16 @@ def _least(x: np.ndarray, y: np.ndarray, penalty: np.ndarray | float = 0.0) -> n
     return np.linalg.lstsq(x.T @ x + np.diag(np.broadcast_to(penalty, x.shape[1])), x.T @ y, rcond=None)[0]
 
 
+def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Intercept and slopes, over centred columns of like scale: products of the raw ones lose the digits of values far from 0."""
+    mean, level = x.mean(0), y.mean()
+    x = x - mean
+    scale = np.sqrt((x * x).mean(0))
+    scale[scale <= 1e-14 * np.abs(mean)] = np.inf  # a column without variation has no slope
+    slopes = np.linalg.lstsq(x / scale, y - level, rcond=None)[0] / scale
+    return np.r_[level - mean @ slopes, slopes]
+
+
 def _lagged(v: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([v[n - k : len(v) - k] for k in range(1, n + 1)]) if n else np.zeros((len(v), 0))
 
@@ -167,11 +177,12 @@ def arima(p: int = 1, d: int = 0, q: int = 0) -> Model:
         e = np.zeros(len(w))
         if q:
             k = min(max(n + 3, 8), (len(w) - 1) // 3)
-            x = np.column_stack((np.ones(len(w) - k), _lagged(w, k)))
-            e[k:] = w[k:] - x @ _least(x, w[k:])
+            x = _lagged(w, k)
+            beta = _line(x, w[k:])
+            e[k:] = w[k:] - beta[0] - x @ beta[1:]
             n = max(n, k) if len(w) - k > p + q + 2 else n
-        x = np.column_stack((np.ones(len(w) - n), *[w[n - i : len(w) - i] for i in range(1, p + 1)], *[e[n - i : len(w) - i] for i in range(1, q + 1)]))
-        beta = _least(x, w[n:])
+        x = np.column_stack((*[w[n - i : len(w) - i] for i in range(1, p + 1)], *[e[n - i : len(w) - i] for i in range(1, q + 1)], np.zeros((len(w) - n, 0))))
+        beta = _line(x, w[n:])
         fit_w, e = w.copy(), np.zeros(len(w))
         step = lambda w, e, t: beta[0] + sum(beta[i] * w[t - i] for i in range(1, p + 1)) + sum(beta[p + i] * e[t - i] for i in range(1, q + 1))
         for t in range(max(p, q), len(w)):
