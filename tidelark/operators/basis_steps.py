@@ -11,6 +11,7 @@ from ..plans.selectors import all_numeric
 from ..plans.specs import Flow, ModelSpec
 from . import learners
 from .choice import step_ns
+from .quantiles import percentiles
 from .steps import step_select
 
 
@@ -43,7 +44,7 @@ def _splines(name: str, columns, deg_free: int, degree: int, shape) -> Step:
             new |= {f"{c}_{name}_{i}": F.when(x.isNotNull(), v) for i, v in enumerate(shape(*b_splines(x, knots, degree), degree), 1)}
         return df.withColumns(new).drop(*[c for c in cs if k[c]])
 
-    return Step(f"spline_{name}", columns, all_numeric(), lambda cs: {c: F.percentile(F.col(f"`{c}`"), F.array(*[F.lit(i / (inner + 1)) for i in range(inner + 2)])) for c in cs}, None, project)
+    return Step(f"spline_{name}", columns, all_numeric(), None, lambda df, cs: percentiles(df, {c: [i / (inner + 1) for i in range(inner + 2)] for c in cs}), project)
 
 
 def step_spline_monotone(columns=None, deg_free: int = 4, degree: int = 3) -> Step:

@@ -13,6 +13,7 @@ from ..functions.distributions import chi2_tail, f_tail, t_tail
 from ..plans.recipe import Step
 from ..plans.selectors import all_nominal, all_numeric
 from ..plans.tuning import solve
+from .quantiles import percentiles
 from .selection import cross_products
 from .steps import _drop
 
@@ -305,8 +306,8 @@ def step_vip(outcome: str, columns=None, threshold: float = 1.0, num_comp: int =
 def step_ns(columns, df: int = 4) -> Step:
     """Natural cubic spline terms ``<c>_ns_1`` .. in place of each column, knots at its quantiles: a line and ``df`` - 1 bends."""
 
-    def aggregates(cs):
-        return {c: F.percentile(c, F.array(*[F.lit(i / df) for i in range(df + 1)])) for c in cs}
+    def learn(data, cs):
+        return percentiles(data, {c: [i / df for i in range(df + 1)] for c in cs})
 
     def project(data, cs, known):
         new = {}
@@ -320,15 +321,15 @@ def step_ns(columns, df: int = 4) -> Step:
                 new[f"{c}_ns_{i}"] = d(k, knots[-1]) - d(knots[-2], knots[-1])
         return data.withColumns(new).drop(*cs)
 
-    return Step("ns", columns, None, aggregates, None, project)
+    return Step("ns", columns, None, None, learn, project)
 
 
 def step_bs(columns, df: int = 4, degree: int = 3) -> Step:
     """B-spline terms ``<c>_bs_1`` .. (the first, dependent one left out) in place of each column, inner knots at quantiles; values outside the range take its ends."""
     inner = df - degree
 
-    def aggregates(cs):
-        return {c: F.percentile(c, F.array(*[F.lit(i / (inner + 1)) for i in range(inner + 2)])) for c in cs}
+    def learn(data, cs):
+        return percentiles(data, {c: [i / (inner + 1) for i in range(inner + 2)] for c in cs})
 
     def project(data, cs, known):
         new = {}
@@ -345,4 +346,4 @@ def step_bs(columns, df: int = 4, degree: int = 3) -> Step:
             new |= {f"{c}_bs_{i}": F.when(F.col(f"`{c}`").isNotNull(), v) for i, v in enumerate(b[1:], 1)}
         return data.withColumns(new).drop(*cs)
 
-    return Step("bs", columns, None, aggregates, None, project)
+    return Step("bs", columns, None, None, learn, project)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.recipe import Step
 from ..plans.selectors import all_nominal, all_numeric
+from .quantiles import percentiles
 from .steps import _drop, _replace, correlation
 
 
@@ -82,7 +83,7 @@ def step_select_psi(split: str, columns=None, threshold: float = 0.25, bins: int
 
     def learn(df, cs):
         inner = [i / bins for i in range(1, bins)]
-        edges = df.where(split).agg(*[F.percentile(c, F.array(*map(F.lit, inner))).alias(c) for c in cs]).first()
+        edges = percentiles(df.where(split), {c: inner for c in cs})
         edges = {c: sorted(set(edges[c] or [])) for c in cs}
 
         def bucket(c):

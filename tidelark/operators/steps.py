@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.recipe import Step
 from ..plans.selectors import all_nominal, all_numeric
+from .quantiles import percentiles
 
 
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -91,7 +92,7 @@ def step_impute_mean(columns=None) -> Step:
 
 
 def step_impute_median(columns=None) -> Step:
-    return Step("impute_median", columns, all_numeric(), lambda cs: {c: F.median(c) for c in cs}, None, lambda df, cs, k: _replace(df, {c: F.coalesce(F.col(c), F.lit(k[c])) for c in cs}))
+    return Step("impute_median", columns, all_numeric(), None, lambda df, cs: {c: v and v[0] for c, v in percentiles(df, {c: [0.5] for c in cs}).items()}, lambda df, cs, k: _replace(df, {c: F.coalesce(F.col(c), F.lit(k[c])) for c in cs}))
 
 
 def step_impute_mode(columns=None) -> Step:
@@ -111,8 +112,10 @@ def _bins(c: str, edges: list[float], labels: list[str]) -> Column:
 def step_discretize(columns=None, num_breaks: int = 4, method: str = "quantile") -> Step:
     if method == "quantile":
         at = [i / num_breaks for i in range(num_breaks + 1)]
-        wanted = lambda cs: {c: F.percentile(c, F.array(*map(F.lit, at))) for c in cs}
+        learn = lambda df, cs: percentiles(df, {c: at for c in cs})
+        wanted = None
     else:
+        learn = None
         wanted = lambda cs: {c: F.array(F.min(c).cast("double"), F.max(c).cast("double")) for c in cs}
 
     def project(df, cs, k):
@@ -125,7 +128,7 @@ def step_discretize(columns=None, num_breaks: int = 4, method: str = "quantile")
             new[c] = _bins(c, edges, [f"bin_{i + 1}" for i in range(len(edges) - 1)])
         return _replace(df, new)
 
-    return Step("discretize", columns, all_numeric(), wanted, None, project)
+    return Step("discretize", columns, all_numeric(), wanted, learn, project)
 
 
 def step_percentile(columns=None, num_breaks: int = 100, as_integer: bool = True) -> Step:
@@ -141,7 +144,7 @@ def step_percentile(columns=None, num_breaks: int = 100, as_integer: bool = True
             new[c] = F.when(F.col(c).isNotNull(), share.cast("int") if as_integer else share)
         return _replace(df, new)
 
-    return Step("percentile", columns, all_numeric(), lambda cs: {c: F.percentile(c, F.array(*map(F.lit, at))) for c in cs}, None, project)
+    return Step("percentile", columns, all_numeric(), None, lambda df, cs: percentiles(df, {c: at for c in cs}), project)
 
 
 def step_cut(columns, breaks: list[float], labels: list[str] | None = None) -> Step:
@@ -152,7 +155,7 @@ def step_cut(columns, breaks: list[float], labels: list[str] | None = None) -> S
 
 def step_winsorizer(columns=None, fold: float = 1.5, tail: str = "both") -> Step:
     """Values beyond the quartiles by ``fold`` times their distance are set to that limit."""
-    wanted = lambda cs: {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in cs}
+    learn = lambda df, cs: percentiles(df, {c: [0.25, 0.75] for c in cs})
 
     def project(df, cs, k):
         new = {}
@@ -166,12 +169,12 @@ def step_winsorizer(columns=None, fold: float = 1.5, tail: str = "both") -> Step
             new[c] = F.when(F.col(c).isNotNull(), x)
         return _replace(df, new)
 
-    return Step("winsorizer", columns, all_numeric(), wanted, None, project)
+    return Step("winsorizer", columns, all_numeric(), None, learn, project)
 
 
 def step_outlier_trimmer(columns=None, fold: float = 1.5) -> Step:
     """Rows with a value beyond the winsorizer's limits go; a null lies beyond nothing."""
-    wanted = lambda cs: {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in cs}
+    learn = lambda df, cs: percentiles(df, {c: [0.25, 0.75] for c in cs})
 
     def project(df, cs, k):
         for c in (c for c in cs if k[c]):
@@ -179,7 +182,7 @@ def step_outlier_trimmer(columns=None, fold: float = 1.5) -> Step:
             df = df.where(F.col(c).isNull() | F.col(c).between(q1 - fold * (q3 - q1), q3 + fold * (q3 - q1)))
         return df
 
-    return Step("outlier_trimmer", columns, all_numeric(), wanted, None, project)
+    return Step("outlier_trimmer", columns, all_numeric(), None, learn, project)
 
 
 def step_log(columns=None, offset: float = 0.0) -> Step:
